@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from .chat import events_of, formatted, readback
 from .common import table
 from .fingerprints import fingerprints
+from .langid import identified
 from .mixing import mixture
 from .neardup import near_duplicates
 from .packing import packed_documents
+from .pii import find_pii
+from .secret_scan import find_secrets
 from .vectors import top_k
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -34,18 +37,31 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents")).drop("places")
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return readback(formatted(events_of(rows)))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("lang_spans", lambda s: F.concat_ws(":", s.lang, s.start.cast("string"), s.end.cast("string"))), ",")
+    return identified(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", spans.alias("spans"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_top_k, op3_source_mixing, op4_best_fit_packing, op7_chat_formatting, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_top_k, op3_source_mixing, op4_best_fit_packing, op5_secret_scan, op7_chat_formatting, op8_language_id, op9_pii, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
