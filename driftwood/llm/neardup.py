@@ -10,9 +10,12 @@ Texts with equal sets form one class before any comparison, so copies never
 meet in pairs.  Within a bucket two exact steps find the links:
 
 1. every class is compared with the bucket's most central class only;
-2. classes still in different components are compared where a bound allows a
-   link: sizes within the limit, and at most ``n - alone`` shingles shared,
-   ``alone`` counting the shingles that no other candidate class has.
+2. classes still in different components are compared where bounds allow a
+   link: sizes within the limit; at most ``n - alone`` shingles shared,
+   ``alone`` counting the shingles that no other candidate class has; and at
+   least as many shingles on one side only as there are bits in which the
+   classes' parity sketches differ (a bit is the parity of the number of
+   shingles in its bin, so each such bit needs a shingle of its own).
 
 All links are confirmed on full sets.  No bucket, class or partner is capped.
 """
@@ -35,6 +38,8 @@ BANDS = 20
 PERCENT = 85
 #: Ratio of the geometric size classes that step 2 joins on.
 SIZE_STEP = 1.03
+#: Bits of the parity sketch, a multiple of 64.
+PARITY_BITS = 512
 
 _U = np.uint64
 
@@ -102,9 +107,16 @@ def _sets(size: int):
                 own = [np.unique(hashes[offsets[i] : offsets[i + 1]]) for i in range(len(offsets) - 1)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
                 flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+                odd = [np.bincount((x % _U(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1 for x in own]
+                bits = np.packbits(np.array(odd, np.uint8).reshape(len(own), PARITY_BITS), axis=1).view(np.int64)
+                parity_ends = np.arange(len(own) + 1, dtype=np.int32) * bits.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, len(own)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))],
-                    names=["rep", "shingles"],
+                    [
+                        batch.column("doc_id").slice(lo, len(own)),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(parity_ends, pa.int32()), pa.array(bits.ravel())),
+                    ],
+                    names=["rep", "shingles", "parity"],
                 )
 
     return run
@@ -134,9 +146,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     return stars.unionAll(pairs.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def _may_link(na, nb, most, percent: int):
-    """Whether sets of these sizes can link if they share at most ``most`` shingles."""
-    shared = F.least(na, nb, most)
+def _may_link(na, nb, most, parity_a, parity_b, percent: int):
+    """Whether sets of these sizes can link if they share at most ``most`` shingles and have these parity sketches."""
+    apart = sum((F.bit_count(parity_a[i].bitwiseXOR(parity_b[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    shared = F.least(na, nb, most, F.floor((na + nb - apart) / 2))
     return 100 * shared >= percent * (na + nb - shared)
 
 
@@ -172,21 +185,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, b
     candidates = members.groupBy("rep").agg(F.sum("members").alias("weight"))
     candidates = stored(candidates, "candidates")
     texts = docs.join(candidates.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets(size), "rep long, shingles array<long>").dropDuplicates(["rep"]), "sets")
+    sets = stored(texts.mapInArrow(_sets(size), "rep long, shingles array<long>, parity array<long>").dropDuplicates(["rep"]), "sets")
     only = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("holders"), F.min("rep").alias("rep")).filter("holders = 1")
     alone = only.groupBy("rep").agg(F.count("*").alias("alone"))
-    candidates = stored(candidates.join(alone, "rep", "left").select("rep", "weight", F.coalesce("alone", F.lit(0)).alias("alone")), "candidates")
-    members = stored(members.join(candidates, "rep").select("key", "rep", "n", (F.col("n") - F.col("alone")).alias("most"), "weight"), "members")
+    candidates = stored(candidates.join(alone, "rep", "left").join(sets.select("rep", "parity"), "rep").select("rep", "weight", F.coalesce("alone", F.lit(0)).alias("alone"), "parity"), "candidates")
+    members = stored(members.join(candidates, "rep").select("key", "rep", "n", (F.col("n") - F.col("alone")).alias("most"), "weight", "parity"), "members")
 
     # step 1: each class against the most central class of its bucket
-    centre = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "n", "most")).alias("c"))
-    centre = centre.select("key", (-F.col("c.minus")).alias("p"), F.col("c.n").alias("pn"), F.col("c.most").alias("pmost"))
-    pairs = members.join(centre, "key").filter("rep <> p").filter(_may_link(F.col("n"), F.col("pn"), F.least("most", "pmost"), percent))
+    centre = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "n", "most", "parity")).alias("c"))
+    centre = centre.select("key", (-F.col("c.minus")).alias("p"), F.col("c.n").alias("pn"), F.col("c.most").alias("pmost"), F.col("c.parity").alias("pparity"))
+    pairs = members.join(centre, "key").filter("rep <> p").filter(_may_link(F.col("n"), F.col("pn"), F.least("most", "pmost"), F.col("parity"), F.col("pparity"), percent))
     first_links = stored(_confirmed(pairs.select(F.col("rep").alias("a"), F.col("p").alias("b")).distinct(), sets, percent), "links")
     roots = stored(connected_components(first_links), "roots")
 
     # step 2: classes still apart, wherever the bound allows a link
-    labelled = stored(members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "most", F.coalesce("root", "rep").alias("root")), "labelled")
+    labelled = stored(members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "most", "parity", F.coalesce("root", "rep").alias("root")), "labelled")
     apart = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max_by("root", F.struct("most", "rep")).alias("main")).filter("r0 <> r1")
     open_ = labelled.join(apart.select("key", "main"), "key")
     step = float(np.log(SIZE_STEP))
@@ -197,9 +210,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, b
     high = F.least(F.floor(n * 100.0 / percent), F.floor(most * (100.0 + percent) / percent - n))
     feasible = open_.filter(100 * most >= percent * n)
     levels = F.sequence(level(low) - 1, level(F.greatest(high, low)) + 1)
-    side = feasible.filter("root <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("most").alias("amost"), F.col("root").alias("aroot"), F.explode(F.when(high >= low, levels)).alias("level"))
-    other = feasible.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("most").alias("bmost"), F.col("root").alias("broot"), level(n).alias("level"))
-    more = side.join(other, ["key", "level"]).filter("aroot <> broot").filter(_may_link(F.col("an"), F.col("bn"), F.least("amost", "bmost"), percent))
+    side = feasible.filter("root <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("most").alias("amost"), F.col("root").alias("aroot"), F.col("parity").alias("aparity"), F.explode(F.when(high >= low, levels)).alias("level"))
+    other = feasible.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("most").alias("bmost"), F.col("root").alias("broot"), F.col("parity").alias("bparity"), level(n).alias("level"))
+    more = side.join(other, ["key", "level"]).filter("aroot <> broot").filter(_may_link(F.col("an"), F.col("bn"), F.least("amost", "bmost"), F.col("aparity"), F.col("bparity"), percent))
     more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = stored(_confirmed(more, sets, percent).unionAll(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
     final = connected_components(links)
