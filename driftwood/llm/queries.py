@@ -11,6 +11,7 @@ from .chat import events_of, formatted, readback
 from .common import table
 from .fingerprints import fingerprints
 from .langid import identified
+from .licenses import find_licenses
 from .mixing import mixture
 from .neardup import near_duplicates
 from .packing import packed_documents
@@ -41,6 +42,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents")).drop("places")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -61,7 +66,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_top_k, op3_source_mixing, op4_best_fit_packing, op5_secret_scan, op7_chat_formatting, op8_language_id, op9_pii, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_top_k, op3_source_mixing, op4_best_fit_packing, op5_secret_scan, op6_license_scan, op7_chat_formatting, op8_language_id, op9_pii, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
