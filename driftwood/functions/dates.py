@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: Windows a reader may ask for.
 WINDOWS = ("today", "tomorrow", "this_week", "weekend", "upcoming")
 #: How far a date without a year may lie from the day it was published.
@@ -48,9 +50,12 @@ def nth_weekday(month: Column, weekday: str, n: int) -> Column:
 
 def nearest_year(month: Column, day: Column, published: Column, most_days: int = NEAREST_YEAR_DAYS) -> Column:
     """The date of a month and day nearest to ``published``, the earlier on a tie; null if beyond ``most_days`` or without ``published``."""
-    tried = [F.try_to_date(F.concat_ws("-", (F.year(published) + k).cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd") for k in (-1, 0, 1)]
-    best = F.array_min(F.array_compact(F.array(*[F.when(d.isNotNull(), F.struct(F.abs(F.datediff(d, published)).alias("far"), d.alias("day"))) for d in tried])))
-    return F.when(best.far <= most_days, best.day)
+    def best(stated: Column) -> Column:
+        days = F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.try_to_date(F.format_string("%04d-%02d-%02d", F.year(stated.published) + k, stated.month, stated.day), "yyyy-MM-dd"))
+        near = F.array_min(F.transform(F.filter(days, lambda d: d.isNotNull()), lambda d: F.struct(F.abs(F.datediff(d, stated.published)).alias("far"), d.alias("day"))))
+        return let(near, lambda n: F.when(n.far <= most_days, n.day))
+
+    return let(F.struct(month.alias("month"), day.alias("day"), published.alias("published")), lambda s: F.when(s.month.isNotNull() & s.day.isNotNull() & s.published.isNotNull(), best(s)))
 
 
 def months_ago(day: Column, n: int) -> Column:
