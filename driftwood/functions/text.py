@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Character references decoded in page text, the ampersand last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -115,7 +116,7 @@ def occurs(term: str, text: Column) -> Column:
     return F.contains(folded, F.lit(term.lower()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded_key(values: pd.Series) -> pd.Series:
     """NFKC, case folded, only letters and digits: the key under which names are compared.  Spark has no NFKC."""
     import unicodedata
@@ -123,7 +124,7 @@ def folded_key(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else "".join(c for c in unicodedata.normalize("NFKC", v).casefold() if c.isalnum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two strings, 0 where one is null; thresholds on it need this very measure."""
     import difflib
