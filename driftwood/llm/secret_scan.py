@@ -5,7 +5,7 @@ set for each kind, becomes a prefix tree over character classes with counts;
 states whose outgoing frequencies agree within a Hoeffding bound are merged
 into a probabilistic automaton.  Every other token that could be a credential
 is then scored by how likely the automata are to write it, and reported where
-it fits as well as the labelled ones do.
+it is about as likely as a labelled one of its length.
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ SAMPLE = 600
 SAMPLE_LEAST = 8
 #: Confidence of the test that keeps states apart.
 ALPHA = 0.02
-#: A candidate fits if it scores as the labelled credentials above this quantile do.
-QUANTILE = 0.05
+#: A candidate fits if its log probability is at most so many deviations below what the labelled credentials' symbols lead to expect.
+DEVIATIONS = 2.5
 
 _TOKEN_BYTE, _DIGIT_BYTE, _LETTER_BYTE = (np.zeros(256, bool) for _ in range(3))
 _DIGIT_BYTE[list(b"0123456789")] = True
@@ -66,22 +66,31 @@ def symbols(value: str) -> str:
 
 @dataclass
 class Automaton:
-    """Log probabilities: steps[state][symbol] = (next state, log p), ends[state] = log p of stopping."""
+    """Log probabilities: steps[state][symbol] = (next state, log p), ends[state] = log p of stopping; mean and deviation of one symbol's among the labelled."""
 
     steps: list[dict[str, tuple[int, float]]]
     ends: list[float]
-    least: float = 0.0
+    mean: float = 0.0
+    deviation: float = 0.0
 
-    def score(self, value: str) -> float:
-        """Mean log probability of a symbol, the end included; a step never seen costs as much as a rare one."""
-        state, total = 0, 0.0
-        for n, c in enumerate(value):
+    def costs(self, value: str) -> list[float]:
+        """Log probability of each symbol and of the end; what follows a step never seen costs as much as a rare one."""
+        state, out = 0, []
+        for c in value:
             step = self.steps[state].get(c)
             if step is None:
-                return (total + (len(value) - n + 1) * _UNSEEN) / (len(value) + 1)
+                return out + [_UNSEEN] * (len(value) + 1 - len(out))
             state, p = step
-            total += p
-        return (total + self.ends[state]) / (len(value) + 1)
+            out.append(p)
+        return [*out, self.ends[state]]
+
+    def score(self, value: str) -> float:
+        """Mean log probability of a symbol."""
+        return sum(self.costs(value)) / (len(value) + 1)
+
+    def fits(self, value: str, deviations: float = DEVIATIONS) -> bool:
+        """Whether the value is about as likely as a labelled one of its length."""
+        return self.score(value) >= self.mean - deviations * self.deviation / math.sqrt(len(value) + 1)
 
 
 _UNSEEN = math.log(1e-4)
@@ -158,15 +167,15 @@ def infer(samples: list[str], alpha: float = ALPHA) -> Automaton:
     return Automaton(steps, ends)
 
 
-def learn(credentials: dict[str, list[str]], alpha: float = ALPHA, quantile: float = QUANTILE) -> dict[str, Automaton]:
-    """An automaton for each kind with enough labelled credentials, and the score that its candidates must reach."""
+def learn(credentials: dict[str, list[str]], alpha: float = ALPHA) -> dict[str, Automaton]:
+    """An automaton for each kind with enough labelled credentials."""
     out = {}
     for kind, values in sorted(credentials.items()):
         values = [symbols(v) for v in sorted(values)]
         if len(values) >= SAMPLE_LEAST:
             automaton = infer(values, alpha)
-            scores = sorted(automaton.score(v) for v in values)
-            automaton.least = scores[int(quantile * len(scores))]
+            costs = np.array([c for v in values for c in automaton.costs(v)])
+            automaton.mean, automaton.deviation = float(costs.mean()), float(costs.std())
             out[kind] = automaton
     return out
 
@@ -217,14 +226,14 @@ def _order(span: tuple) -> tuple:
     return span[1], KINDS.index(span[0]), span[2]
 
 
-def _judged(automata: dict[str, Automaton]):
+def _judged(automata: dict[str, Automaton], deviations: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             spans_out = []
             for base, other in zip(batch.column("base").to_pylist(), batch.column("other").to_pylist()):
                 spans = [(s["kind"], s["start"], s["end"]) for s in base]
-                fitting = [(s["kind"], s["start"], s["end"]) for s in other if any(a.score(symbols(s["value"])) >= a.least for a in automata.values())]
+                fitting = [(s["kind"], s["start"], s["end"]) for s in other if any(a.fits(symbols(s["value"]), deviations) for a in automata.values())]
                 texts = [",".join(f"{k}:{a}:{b}" for k, a, b in sorted(x, key=_order)) for x in (spans, spans + fitting)]
                 for column, value in zip(out, (*(sum(s[0] == k for s in spans) for k in KINDS[:3]), hashlib.sha256(texts[0].encode()).hexdigest(), texts[1])):
                     column.append(value)
@@ -250,7 +259,7 @@ def labelled_sample(found: DataFrame, sample: int = SAMPLE) -> dict[str, list[st
     return out
 
 
-def find_secrets(docs: DataFrame, sample: int = SAMPLE, alpha: float = ALPHA, quantile: float = QUANTILE) -> DataFrame:
+def find_secrets(docs: DataFrame, sample: int = SAMPLE, alpha: float = ALPHA, deviations: float = DEVIATIONS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans, places.
 
     ``base_sha256`` digests the base spans as kind:start:end by start, then
@@ -261,14 +270,14 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, alpha: float = ALPHA, qu
     Repeated rows repeat; other columns play no part.
     """
     found = stored(docs.select("doc_id", "text").mapInArrow(_found, f"doc_id long, base {_SPAN_SQL}, other {_SPAN_SQL}"), "secrets")
-    automata = learn(labelled_sample(found, sample), alpha, quantile)
-    return found.mapInArrow(_judged(automata), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, places array<struct<start:long,end:long>>")
+    automata = learn(labelled_sample(found, sample), alpha)
+    return found.mapInArrow(_judged(automata, deviations), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, places array<struct<start:long,end:long>>")
 
 
-def redacted(docs: DataFrame, mark: str = "<SECRET>", sample: int = SAMPLE, alpha: float = ALPHA, quantile: float = QUANTILE) -> DataFrame:
+def redacted(docs: DataFrame, mark: str = "<SECRET>", sample: int = SAMPLE, alpha: float = ALPHA, deviations: float = DEVIATIONS) -> DataFrame:
     """``docs`` with every secret replaced by ``mark`` and n_chars, if there, counted anew; columns and rows stay."""
     found = stored(docs.select("doc_id", "text").mapInArrow(_found, f"doc_id long, base {_SPAN_SQL}, other {_SPAN_SQL}"), "secrets")
-    automata = learn(labelled_sample(found, sample), alpha, quantile)
+    automata = learn(labelled_sample(found, sample), alpha)
 
     def clean(text: str | None) -> str | None:
         if text is None:
@@ -277,7 +286,7 @@ def redacted(docs: DataFrame, mark: str = "<SECRET>", sample: int = SAMPLE, alph
         places = [(s[1], s[2]) for s in spans]
         for m in TOKEN.finditer(text):
             if all(m.end() <= a or m.start() >= b for a, b in places[: len(spans)]) and any("0" <= c <= "9" for c in m[0]) and any(c.isalpha() for c in m[0]):
-                if any(a.score(symbols(m[0])) >= a.least for a in automata.values()):
+                if any(a.fits(symbols(m[0]), deviations) for a in automata.values()):
                     places.append((m.start(), m.end()))
         out, at = [], 0
         for a, b in sorted(places):
