@@ -14,6 +14,7 @@ from .langid import identified
 from .licenses import find_licenses
 from .mixing import mixture
 from .neardup import near_duplicates
+from .oracle import ORACLES
 from .packing import packed_documents
 from .pii import find_pii
 from .secret_scan import find_secrets
@@ -31,7 +32,7 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "first_position")
+    return mixture(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", F.round("first_position", 9).alias("first_position"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
