@@ -99,7 +99,7 @@ def weighted_verdict(before: DataFrame, after: DataFrame, weights: Mapping[str,
         weight = F.when(F.col("metric") == name, w).otherwise(weight)
     both = before.withColumnRenamed("value", "old").join(after.withColumnRenamed("value", "new"), ["key", "metric"])
     change = both.withColumn("delta", F.col("new") - F.col("old")).withColumn("w", weight).filter(F.abs("delta") > epsilon)
-    sums = change.groupBy("key").agg(F.round(F.sum(F.when(F.col("delta") > 0, F.col("delta") * F.col("w")).otherwise(0.0)), 4).alias("gain"), F.round(F.sum(F.when(F.col("delta") < 0, -F.col("delta") * F.col("w")).otherwise(0.0)), 4).alias("loss"))
+    sums = change.groupBy("key").agg(F.round(F.sum(F.when(F.col("delta") > 0, F.col("delta") * F.col("w")).otherwise(0.0)), 6).alias("gain"), F.round(F.sum(F.when(F.col("delta") < 0, -F.col("delta") * F.col("w")).otherwise(0.0)), 6).alias("loss"))
     net = F.col("gain") - F.col("loss")
     return sums.withColumn("verdict", F.when(net > band, "IMPROVED").when(net < -band, "WORSENED").otherwise("NEUTRAL"))
 

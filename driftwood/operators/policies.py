@@ -73,9 +73,9 @@ def contextual_ranking(plans: DataFrame, group: str) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    score = F.round(0.35 * F.col("wilson") + 0.15 * F.col("bayes") + 0.15 * F.least(F.col("survival_days") / 90.0, F.lit(1.0)) + 0.20 * F.col("context") + 0.15 * F.col("evidence") - 0.15 * F.col("severity") - 0.05 * F.col("steps"), 4)
+    score = F.round(0.35 * F.col("wilson") + 0.15 * F.col("bayes") + 0.15 * F.least(F.col("survival_days") / 90.0, F.lit(1.0)) + 0.20 * F.col("context") + 0.15 * F.col("evidence") - 0.15 * F.col("severity") - 0.05 * F.col("steps"), 6)
     order = Window.partitionBy(group).orderBy(F.desc("score"), "plan")
-    ranked = plans.withColumn("score", score).withColumn("rank", F.row_number().over(order).cast("long")).withColumn("margin", F.round(F.col("score") - F.lead("score").over(order), 4))
+    ranked = plans.withColumn("score", score).withColumn("rank", F.row_number().over(order).cast("long")).withColumn("margin", F.round(F.col("score") - F.lead("score").over(order), 6))
     ahead = (F.col("rank") == 1) & (F.col("decisive") >= 3) & (F.col("score") >= 0.45) & F.coalesce(F.col("margin") >= 0.08, F.lit(True))
     return ranked.select(group, "plan", "score", "rank", F.when(ahead, "PREFERRED").when(F.col("decisive") < 3, "LOW_DATA").otherwise("LEARNING").alias("status"))
 
@@ -83,4 +83,4 @@ def contextual_ranking(plans: DataFrame, group: str) -> DataFrame:
 def regret(choices: DataFrame) -> DataFrame:
     """key, regret, class of choices (key, recommended, selected): how much better the recommended one did."""
     lost = F.greatest(F.lit(0.0), F.col("recommended") - F.col("selected"))
-    return choices.select("key", F.round(lost, 4).alias("regret"), F.when(lost > 0, "OVERRIDE_WORSE").when(F.col("selected") > F.col("recommended"), "OVERRIDE_BETTER").otherwise("EVEN").alias("outcome"))
+    return choices.select("key", F.round(lost, 6).alias("regret"), F.when(lost > 0, "OVERRIDE_WORSE").when(F.col("selected") > F.col("recommended"), "OVERRIDE_BETTER").otherwise("EVEN").alias("outcome"))

@@ -37,8 +37,8 @@ def policy_catalogue(spark, sf_dir):
 
 
 @query(f"""WITH {_OBSERVED}, c AS (SELECT day, user_id, count(*) AS n, count(*) FILTER (WHERE helpful) AS h, max(hours) AS hours FROM o GROUP BY 1, 2),
-s AS (SELECT day, user_id AS plan, n, round(0.35 * greatest(0.0, (h / n + 3.8416 / (2 * n) - 1.96 * sqrt((h / n * (1 - h / n) + 3.8416 / (4 * n)) / n)) / (1 + 3.8416 / n)) + 0.15 * ((h + 1.0) / (n + 2.0)) + 0.15 * least(hours / 24.0 / 90.0, 1.0) + 0.2 * 0.8 + 0.15 * least(n / 10.0, 1.0) - 0.15 * 0.1 - 0.05 * (user_id % 3), 4) AS score FROM c),
-r AS (SELECT *, row_number() OVER w AS rank, round(score - lead(score) OVER w, 4) AS margin FROM s WINDOW w AS (PARTITION BY day ORDER BY score DESC, plan))
+s AS (SELECT day, user_id AS plan, n, round(0.35 * greatest(0.0, (h / n + 3.8416 / (2 * n) - 1.96 * sqrt((h / n * (1 - h / n) + 3.8416 / (4 * n)) / n)) / (1 + 3.8416 / n)) + 0.15 * ((h + 1.0) / (n + 2.0)) + 0.15 * least(hours / 24.0 / 90.0, 1.0) + 0.2 * 0.8 + 0.15 * least(n / 10.0, 1.0) - 0.15 * 0.1 - 0.05 * (user_id % 3), 6) AS score FROM c),
+r AS (SELECT *, row_number() OVER w AS rank, round(score - lead(score) OVER w, 6) AS margin FROM s WINDOW w AS (PARTITION BY day ORDER BY score DESC, plan))
 SELECT day, plan, score, CAST(rank AS BIGINT) AS rank, CASE WHEN rank = 1 AND n >= 3 AND score >= 0.45 AND COALESCE(margin >= 0.08, TRUE) THEN 'PREFERRED' WHEN n < 3 THEN 'LOW_DATA' ELSE 'LEARNING' END AS status FROM r""")
 def contextual_ranking(spark, sf_dir):
     counted = _observed(spark, sf_dir).groupBy("day", "user_id").agg(F.count("*").alias("decisive"), F.count_if("helpful").alias("h"), F.max("hours").alias("hours"))
@@ -47,7 +47,7 @@ def contextual_ranking(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT user_id AS key, avg(value) FILTER (WHERE event_type = 'purchase') AS recommended, avg(value) FILTER (WHERE event_type = 'click') AS selected FROM events GROUP BY 1)
-SELECT key, round(greatest(0.0, recommended - selected), 4) AS regret, CASE WHEN recommended > selected THEN 'OVERRIDE_WORSE' WHEN selected > recommended THEN 'OVERRIDE_BETTER' ELSE 'EVEN' END AS outcome FROM m""")
+SELECT key, round(greatest(0.0, recommended - selected), 6) AS regret, CASE WHEN recommended > selected THEN 'OVERRIDE_WORSE' WHEN selected > recommended THEN 'OVERRIDE_BETTER' ELSE 'EVEN' END AS outcome FROM m""")
 def recommendation_regret(spark, sf_dir):
     mean = lambda t: F.avg(F.when(F.col("event_type") == t, F.col("value")))
     return policies.regret(table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(mean("purchase").alias("recommended"), mean("click").alias("selected")))

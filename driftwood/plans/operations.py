@@ -156,7 +156,7 @@ def correction_hotspots(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT user_id AS key, event_type AS metric, CAST(ts AS DATE) < DATE '2024-01-16' AS old, avg(value) AS value FROM events GROUP BY 1, 2, 3), d AS (SELECT a.key, (b.value - a.value) AS delta, CASE a.metric WHEN 'purchase' THEN 2.0 WHEN 'error' THEN 0.5 ELSE 1.0 END AS w FROM m a JOIN m b ON a.key = b.key AND a.metric = b.metric AND a.old AND NOT b.old),
-s AS (SELECT key, round(sum(CASE WHEN delta > 0 THEN delta * w ELSE 0.0 END), 4) AS gain, round(sum(CASE WHEN delta < 0 THEN -delta * w ELSE 0.0 END), 4) AS loss FROM d WHERE abs(delta) > 0.01 GROUP BY key)
+s AS (SELECT key, round(sum(CASE WHEN delta > 0 THEN delta * w ELSE 0.0 END), 6) AS gain, round(sum(CASE WHEN delta < 0 THEN -delta * w ELSE 0.0 END), 6) AS loss FROM d WHERE abs(delta) > 0.01 GROUP BY key)
 SELECT key, gain, loss, CASE WHEN gain - loss > 0.25 THEN 'IMPROVED' WHEN gain - loss < -0.25 THEN 'WORSENED' ELSE 'NEUTRAL' END AS verdict FROM s""")
 def change_verdict(spark, sf_dir):
     phased = table(spark, sf_dir, "events").withColumn("old", F.to_date("ts") < F.lit("2024-01-16").cast("date"))
