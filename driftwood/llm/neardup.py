@@ -214,8 +214,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, b
     other = feasible.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("most").alias("bmost"), F.col("root").alias("broot"), F.col("parity").alias("bparity"), level(n).alias("level"))
     more = side.join(other, ["key", "level"]).filter("aroot <> broot").filter(_may_link(F.col("an"), F.col("bn"), F.least("amost", "bmost"), F.col("aparity"), F.col("bparity"), percent))
     more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = stored(_confirmed(more, sets, percent).unionAll(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))), "links")
-    final = connected_components(links)
+    more_links = stored(_confirmed(more, sets, percent), "links")
+    final = roots
+    if not more_links.isEmpty():
+        final = connected_components(more_links.unionAll(roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     of_class = classes.join(final, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", F.col("n_shingles").alias("n"), F.coalesce("root", "rep").alias("of_class"))
     same = (F.col("sketch.set_a") == F.col("c.set_a")) & (F.col("sketch.set_b") == F.col("c.set_b")) & (F.col("sketch.n_shingles") == F.col("c.n"))
