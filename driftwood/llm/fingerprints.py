@@ -20,7 +20,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
 from .shingles import SHINGLE, row_shingles
 
 #: One of so many hashes is kept.
@@ -101,35 +100,36 @@ def _compared(ids: list, texts: list[str], following: list[str], own: list, afte
 
 
 def _in_order(scale: int, least: int, size: int):
-    """Rows of a sorted partition, each compared with the next; the first row's text and the last row are passed on."""
-
-    def batch_of(kind: int, part: int, columns: list[pa.Array], texts: list) -> pa.RecordBatch:
-        n = len(texts)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), *columns, pa.array(texts, pa.string())], names=["kind", "part", *[n for n, _ in _FIELDS], "text"])
-
-    def empty(ids: list) -> list[pa.Array]:
-        return [pa.array(ids, pa.int64()), *[pa.nulls(len(ids), kind) for _, kind in _FIELDS[1:]]]
+    """Rows of a sorted partition, each compared with the next; the last has none here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = TaskContext.get().partitionId(), None
+        held = None
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 piece = batch.slice(lo, 256)
                 ids, texts = piece.column("doc_id").to_pylist(), pc.fill_null(piece.column("text"), "").to_pylist()
                 own = _sketches(texts, scale, least, size)
-                if held is None:
-                    yield batch_of(1, part, empty(ids[:1]), texts[:1])
-                else:
+                if held is not None:
                     ids, texts, own = [held[0], *ids], [held[1], *texts], [held[2], *own]
                 held = ids[-1], texts[-1], own[-1]
                 if len(ids) > 1:
-                    yield batch_of(0, part, _compared(ids[:-1], texts[:-1], texts[1:], own[:-1], own[1:], scale, least, size), [None] * (len(ids) - 1))
-        if held is not None:
-            yield batch_of(2, part, empty([held[0]]), [held[1]])
+                    yield pa.RecordBatch.from_arrays(_compared(ids[:-1], texts[:-1], texts[1:], own[:-1], own[1:], scale, least, size), names=[n for n, _ in _FIELDS])
 
     return run
 
 
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for a sorted partition: its number, first text, last id and last text."""
+    first, last = None, None
+    for batch in batches:
+        if batch.num_rows:
+            first = first or batch.slice(0, 1)
+            last = batch.slice(batch.num_rows - 1)
+    if last is not None:
+        row = [TaskContext.get().partitionId(), first.column("text")[0].as_py(), last.column("doc_id")[0].as_py(), last.column("text")[0].as_py()]
+        yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1] or ""]), pa.array([row[2]], pa.int64()), pa.array([row[3] or ""])], names=["part", "first_text", "doc_id", "text"])
+
+
 def _across(scale: int, least: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,12 +151,14 @@ def fingerprints(docs: DataFrame, scale: int = SCALE, least: int = LEAST, size:
     next.  Other columns play no part.
     """
     order = [F.asc_nulls_last("doc_id"), F.asc("text")]
-    ranged = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    found = stored(ranged.mapInArrow(_in_order(scale, least, size), f"kind int, part int, {_RESULT}, text string"), "fingerprints")
-    # one row for each partition: numbers only go through the window
-    parts = found.filter("kind = 1").select("part")
-    first_part = parts.agg(F.min("part")).first()[0]
-    by_part = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.lit(first_part)).alias("next_part"))
-    heads = found.filter("kind = 1").select(F.col("part").alias("next_part"), F.col("text").alias("following"))
-    ends = found.filter("kind = 2").select("part", "doc_id", "text").join(by_part, "part").join(heads, "next_part").select("doc_id", "text", "following")
-    return found.filter("kind = 0").select(*[n for n, _ in _FIELDS]).unionAll(ends.mapInArrow(_across(scale, least, size), _RESULT))
+    # a stated number of partitions is never coalesced, so both readers below see the same ones, from one shuffle
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ranges are by doc_id alone: the bounds are sampled on the driver, which must not see texts
+    ranged = docs.select("doc_id", "text").repartitionByRange(parts, order[0]).sortWithinPartitions(*order)
+    inside = ranged.mapInArrow(_in_order(scale, least, size), _RESULT)
+    # one row for each partition goes through the window, whatever the number of documents
+    edges = ranged.mapInArrow(_edges, "part int, first_text string, doc_id long, text string")
+    by_part = Window.orderBy("part")
+    following = F.coalesce(F.lead("first_text").over(by_part), F.first("first_text").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ends = edges.select("doc_id", "text", following.alias("following"))
+    return inside.unionAll(ends.mapInArrow(_across(scale, least, size), _RESULT))
