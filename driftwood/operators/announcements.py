@@ -109,3 +109,37 @@ def corrected(rows: DataFrame, corrections: DataFrame, key: str, columns: Sequen
     joined = rows.join(named, key, "left")
     types = dict(rows.dtypes)
     return joined.select(*[F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}").getField("value").cast(types[c])).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def festivals(posts: DataFrame) -> DataFrame:
+    """post_id, first_day, last_day, night for every day of the period that a post (post_id, title, body) states."""
+    period = extraction.festival_period(F.concat_ws("\n", "title", "body"))
+    found = posts.select("post_id", period.alias("p")).filter("p is not null")
+    return found.select("post_id", "p.first_day", "p.last_day", F.explode(extraction.nights(F.col("p"))).alias("night"))
+
+
+def programmes(posts: DataFrame) -> DataFrame:
+    """post_id, nth, name, start_min, end_min, end_day_offset of every programme line of a post."""
+    found = posts.select("post_id", F.posexplode(extraction.programmes(F.col("body"))).alias("nth", "p"))
+    return found.select("post_id", "nth", "p.name", "p.time.start_min", "p.time.end_min", "p.time.end_day_offset")
+
+
+def weekly(posts: DataFrame) -> DataFrame:
+    """post_id, day, start_min, end_min of every open weekday line of a post (post_id, body, published)."""
+    parts = posts.select("post_id", F.explode(extraction.weekday_sections(F.col("body"), F.col("published"))).alias("s"))
+    return parts.select("post_id", "s.day", extraction.time_range(F.col("s.part")).alias("t")).select("post_id", "day", "t.start_min", "t.end_min")
+
+
+def filled_from_images(found: DataFrame, ocr: DataFrame) -> DataFrame:
+    """Candidates whose missing date, clock, fee or place come from the text of the post's images, with what was filled and what conflicts.
+
+    ``ocr`` has post_id, ocr_text, published; a place is taken only from a label.
+    """
+    text, day = F.col("ocr_text"), F.col("published")
+    read = ocr.select("post_id", extraction.event_date(text, day).alias("o_date"), extraction.time_range(text).alias("o_time"), extraction.fee(text).alias("o_fee"), extraction.venue(text).alias("o_venue"))
+    joined = found.join(read, "post_id", "left")
+    pairs = (("event_date", F.col("o_date")), ("start_min", F.col("o_time.start_min")), ("fee", F.col("o_fee.amount")), ("venue", F.col("o_venue")))
+    filled = F.array_compact(F.array(*[F.when(F.col(c).isNull() & o.isNotNull(), F.lit(c)) for c, o in pairs]))
+    clash = F.array_compact(F.array(*[F.when(F.col(c) != o, F.lit(c)) for c, o in pairs[:2]]))
+    own = [c for c in found.columns if c not in dict(pairs)]
+    return joined.select(*own, *[F.coalesce(F.col(c), o).alias(c) for c, o in pairs], F.array_join(filled, ",").alias("filled"), F.array_join(clash, ",").alias("conflicts"))

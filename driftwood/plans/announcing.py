@@ -69,3 +69,45 @@ def corrections_overlay(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 4")
     fixes = lines.select(F.col("l_orderkey").alias("k"), F.when(F.col("l_linenumber") % 2 == 0, "seg").otherwise("status").alias("field"), F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("value"), F.struct("l_shipdate", "l_linenumber").alias("at"))
     return announcements.corrected(rows, fixes, "k", ["seg", "status"])
+
+
+def _dotted(day):
+    return F.concat_ws(".", F.year(day).cast("string"), F.month(day).cast("string"), F.dayofmonth(day).cast("string"))
+
+
+@query("""WITH p AS (SELECT o_orderkey AS post_id, CAST(o_orderdate AS DATE) + 7305 AS a, CAST(o_orderdate AS DATE) + 7305 + CAST(o_orderkey % 9 AS INTEGER) AS b FROM orders WHERE o_orderkey % 10 = 0)
+SELECT post_id, a AS first_day, b AS last_day, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS night FROM p WHERE b > a""")
+def festival_nights(spark, sf_dir):
+    first = F.date_add(F.to_date("o_orderdate"), 7305)
+    last = F.date_add(first, (F.col("o_orderkey") % 9).cast("int"))
+    told = F.concat(_dotted(first), F.lit(" ~ "), F.month(last).cast("string"), F.lit("."), F.dayofmonth(last).cast("string"), F.lit(" festival"))
+    posts_ = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("post_id"), F.lit("Tango festival").alias("title"), told.alias("body"))
+    return announcements.festivals(posts_)
+
+
+@query("""SELECT l_orderkey AS post_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, p_name) - 1 AS BIGINT) AS nth, p_name AS name, CAST((12 + l_linenumber) * 60 AS BIGINT) AS start_min, CAST((12 + l_linenumber) * 60 + 90 AS BIGINT) AS end_min FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 10 = 0""")
+def programme_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    clock = F.format_string("PM %d:00~%d:30", F.col("l_linenumber"), F.col("l_linenumber") + 1)
+    told = F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat_ws(" ", "p_name", clock).alias("line"))))
+    posts_ = lines.groupBy(F.col("l_orderkey").alias("post_id")).agg(F.array_join(told.getField("line"), "\n").alias("body"))
+    found = announcements.programmes(posts_).drop("end_day_offset")
+    return found.withColumns({c: F.col(c).cast("long") for c in ("nth", "start_min", "end_min")})
+
+
+@query("""WITH p AS (SELECT s_suppkey AS post_id, DATE '2026-09-16' AS published, s_suppkey % 7 AS open_day, s_suppkey % 5 = 0 AS off FROM supplier)
+SELECT post_id, published + CAST((open_day - 2 + 7) % 7 AS INTEGER) AS day, CAST(1200 AS BIGINT) AS start_min, CAST(1380 AS BIGINT) AS end_min FROM p WHERE NOT off""")
+def weekly_days(spark, sf_dir):
+    names = F.array(*[F.lit(w) for w in "월화수목금토일"])
+    k = F.col("s_suppkey")
+    body = F.concat(F.element_at(names, (k % 7 + 1).cast("int")), F.lit("요일: "), F.when(k % 5 == 0, "휴무").otherwise("PM 8:00~11:00"))
+    posts_ = table(spark, sf_dir, "supplier").select(k.alias("post_id"), body.alias("body"), F.lit("2026-09-16").cast("date").alias("published"))
+    return announcements.weekly(posts_).withColumns({c: F.col(c).cast("long") for c in ("start_min", "end_min")})
+
+
+@query(f"WITH {_CANDIDATES} SELECT post_id, event_date, CASE WHEN post_id % 2 = 0 THEN start_min ELSE 1140 END AS start_min, COALESCE(fee, 9000) AS fee, concat_ws(',', CASE WHEN post_id % 2 = 1 THEN 'start_min' END, CASE WHEN fee IS NULL THEN 'fee' END) AS filled FROM c WHERE post_id % 20 < 2")
+def image_fallback(spark, sf_dir):
+    told = posts(spark, sf_dir).filter("post_id % 20 < 2")
+    found = announcements.candidates(told).withColumn("start_min", F.when(F.col("post_id") % 2 == 0, F.col("start_min")))
+    ocr = told.select("post_id", F.lit("PM 7:00~9:00\n입장료 9,000원").alias("ocr_text"), "published")
+    return announcements.filled_from_images(found, ocr).select("post_id", "event_date", F.col("start_min").cast("long").alias("start_min"), "fee", "filled")
