@@ -163,3 +163,29 @@ def test_import_errors(spark):
     new = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "e"), (None, "f")], "k long, v string")
     old = spark.createDataFrame([(2, "c"), (3, "x")], "k long, v string")
     assert {r["k"]: r["action"] for r in pages.csv_changes(new, old, "k", ["v"]).collect()} == {1: "ERROR", 2: "SKIP", 3: "UPDATE", 4: "CREATE", None: "ERROR"}
+
+
+def test_festivals_programmes_weeklies(spark):
+    schema = "post_id long, title string, body string, published date"
+    posts = spark.createDataFrame(
+        [
+            (1, "Tango week", "2026.10.30 ~ 11.1 everywhere", D(2026, 9, 1)),
+            (2, "Backwards", "2026.10.30 ~ 10.1", D(2026, 9, 1)),
+            (3, "Night", "2026.10.3\nBeginner workshop PM 6:00~7:00\nMilonga: PM 8:00~1:00\n문의 010", D(2026, 9, 1)),
+            (4, "Weekly", "금: PM 8:00~11:00\n토요일: 휴무\n(일) : PM 7:00~10:00", D(2026, 9, 16)),
+            (5, "All off", "금: 휴무", D(2026, 9, 16)),
+        ],
+        schema,
+    )
+    assert sorted((r["post_id"], r["night"]) for r in announcements.festivals(posts).collect()) == [(1, D(2026, 10, 30)), (1, D(2026, 10, 31)), (1, D(2026, 11, 1))]
+    got = [tuple(r)[2:] for r in announcements.programmes(posts.filter("post_id = 3")).orderBy("nth").collect()]
+    assert got == [("Beginner workshop", 1080, 1140, 0), ("Milonga", 1200, 60, 1)]
+    assert sorted(tuple(r) for r in announcements.weekly(posts.filter("post_id > 3")).collect()) == [(4, D(2026, 9, 18), 1200, 1380), (4, D(2026, 9, 20), 1140, 1320)]
+
+
+def test_images_fill_only_what_is_missing(spark):
+    found = spark.createDataFrame([(1, D(2026, 9, 18), None, None, None), (2, None, 600, 5000, "Bar")], "post_id long, event_date date, start_min int, fee long, venue string")
+    ocr = spark.createDataFrame([(1, "2026.9.19 PM 8:00~11:00 입장료 10,000원\n장소: Hall", D(2026, 9, 1))], "post_id long, ocr_text string, published date")
+    rows = {r["post_id"]: r for r in announcements.filled_from_images(found, ocr).collect()}
+    assert (rows[1]["event_date"], rows[1]["start_min"], rows[1]["fee"], rows[1]["venue"]) == (D(2026, 9, 18), 1200, 10000, "Hall")
+    assert rows[1]["filled"] == "start_min,fee,venue" and rows[1]["conflicts"] == "event_date" and rows[2]["filled"] == ""
