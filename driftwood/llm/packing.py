@@ -123,13 +123,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_I
     Pieces of full length are sequences of their own.  Groups are dealt by the
     item's hash, so no length, document or source can crowd one task.
     """
-    whole = pieces.filter(F.col("length") >= capacity).select("item", F.col("item").alias("bin"), F.lit(0).cast("long").alias("offset"))
+    # unique numbers, not hashes: hashes of 64 bits meet from a billion sequences on; the low bits tell the levels apart
+    number = lambda level: (F.monotonically_increasing_id() * 64 + level).alias("sequence_id")
+    whole = pieces.filter(F.col("length") >= capacity).select("item", number(63), F.lit(0).cast("long").alias("offset"))
     level = stored(pieces.filter(F.col("length") < capacity).select("item", "length", F.array(F.concat_ws("|", "item", "length")).alias("members")), "pack")
     count, done = level.count(), []
     groups = max(1, -(-count // group_items))
     while count:
         keyed = level.withColumn("group", F.pmod(F.xxhash64("item", F.lit(groups)), F.lit(groups)))
-        bins = stored(keyed.select("group", "item", "length", "members").groupBy("group").applyInArrow(_pack(capacity), "item string, length long, members array<string>"), "bins")
+        packed = keyed.select("group", "item", "length", "members").groupBy("group").applyInArrow(_pack(capacity), "item string, length long, members array<string>")
+        bins = stored(packed.select("*", number(min(len(done), 62))), "bins")
         full = F.col("length") >= F.lit(int(capacity * NEARLY_FULL))
         rest = bins.filter(~full)
         left = rest.count()
@@ -141,15 +144,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_I
     # the offset of a member is the sum of lengths before it
     placed = None
     for bins in done:
-        each = bins.select(F.col("item").alias("bin"), F.posexplode("members").alias("at", "member"))
+        each = bins.select("sequence_id", F.posexplode("members").alias("at", "member"))
         placed = each if placed is None else placed.unionAll(each)
     if placed is None:
         packed = whole
     else:
-        placed = placed.select("bin", "at", F.substring_index("member", "|", 1).alias("item"), F.substring_index("member", "|", -1).cast("long").alias("length"))
-        before = Window.partitionBy("bin").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-        packed = whole.unionAll(placed.select("item", "bin", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")))
-    return packed.select("item", F.xxhash64("bin").alias("sequence_id"), "offset")
+        placed = placed.select("sequence_id", "at", F.substring_index("member", "|", 1).alias("item"), F.substring_index("member", "|", -1).cast("long").alias("length"))
+        before = Window.partitionBy("sequence_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        packed = whole.unionAll(placed.select("item", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")))
+    return packed
 
 
 def packed_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k", capacity: int = CAPACITY, with_ids: bool = False, group_items: int = GROUP_ITEMS, fan_in: int = FAN_IN) -> DataFrame:
