@@ -127,7 +127,7 @@ def policy_gate(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type <> 'error') AS s FROM events GROUP BY user_id)
-SELECT user_id, round(greatest(0.0, (s / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((s / n * (1 - s / n) + 1.96 * 1.96 / (4 * n)) / n)) / (1 + 1.96 * 1.96 / n)), 4) AS wilson, round((s + 1.0) / (n + 2.0), 4) AS bayes, round(greatest(0.2, least(1.0, 1.0 - 0.2 * (n - s) + 0.025 * s)), 4) AS reliability FROM c""")
+SELECT user_id, round(greatest(0.0, (s / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((s / n * (1 - s / n) + 1.96 * 1.96 / (4 * n)) / n)) / (1 + 1.96 * 1.96 / n)), 4) AS wilson, round((s + 1.0) / (n + 2.0), 4) AS bayes, round(CAST(greatest(0.2, least(1.0, 1.0 - 0.2 * (n - s) + 0.025 * s)) AS DOUBLE), 4) AS reliability FROM c""")
 def reliability_scores(spark, sf_dir):
     counted = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") != "error").alias("s"))
     n, s = F.col("n"), F.col("s")
