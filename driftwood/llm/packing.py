@@ -35,7 +35,11 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(vocabulary: str = "byte_bpe_50k"):
-    """text -> ids.  The rank file holds the vocabulary of the tokenizer's json and gives the same ids, faster."""
+    """text -> ids.  The rank file holds the vocabulary of the tokenizer's json and gives the same ids, faster.
+
+    Its pattern runs out of stack on a run of about a million blanks; such a
+    text is encoded by the tokenizer itself.
+    """
     if vocabulary not in _encoders:
         import public_tokenizers
         import tiktoken
@@ -44,7 +48,24 @@ def encoder(vocabulary: str = "byte_bpe_50k"):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         _encoders[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
     coder = _encoders[vocabulary]
-    return lambda text: coder.encode(text, allowed_special="all")
+
+    def encode(text: str) -> list[int]:
+        try:
+            return coder.encode(text, allowed_special="all")
+        except ValueError:
+            return _tokenizer(vocabulary).encode(text, add_special_tokens=False).ids
+
+    return encode
+
+
+def _tokenizer(vocabulary: str):
+    key = f"{vocabulary}.json"
+    if key not in _encoders:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        _encoders[key] = Tokenizer.from_file(public_tokenizers.path(key))
+    return _encoders[key]
 
 
 def piece_edges(n: int, capacity: int) -> list[int]:
