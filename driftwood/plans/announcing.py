@@ -78,16 +78,35 @@ def _dotted(day):
 @query("""WITH p AS (SELECT o_orderkey AS post_id, CAST(o_orderdate AS DATE) + 7305 AS a, CAST(o_orderdate AS DATE) + 7305 + CAST(o_orderkey % 9 AS INTEGER) AS b FROM orders WHERE o_orderkey % 10 = 0)
 SELECT post_id, a AS first_day, b AS last_day, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS night FROM p WHERE b > a""")
 def festival_nights(spark, sf_dir):
+    return _festival_nights(table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0"))
+
+
+@query("""WITH p AS (SELECT o_orderkey AS post_id, CAST(o_orderdate AS DATE) + 7305 AS a, CAST(o_orderdate AS DATE) + 7305 + CAST(o_orderkey % 9 AS INTEGER) AS b FROM orders)
+SELECT post_id, a AS first_day, b AS last_day, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS night FROM p WHERE b > a""")
+def festival_nights_whole(spark, sf_dir):
+    return _festival_nights(table(spark, sf_dir, "orders"))
+
+
+def _festival_nights(orders):
     first = F.date_add(F.to_date("o_orderdate"), 7305)
     last = F.date_add(first, (F.col("o_orderkey") % 9).cast("int"))
     told = F.concat(_dotted(first), F.lit(" ~ "), F.month(last).cast("string"), F.lit("."), F.dayofmonth(last).cast("string"), F.lit(" festival"))
-    posts_ = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("post_id"), F.lit("Tango festival").alias("title"), told.alias("body"))
+    posts_ = orders.select(F.col("o_orderkey").alias("post_id"), F.lit("Tango festival").alias("title"), told.alias("body"))
     return announcements.festivals(posts_)
 
 
 @query("""SELECT l_orderkey AS post_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, p_name) - 1 AS BIGINT) AS nth, p_name AS name, CAST((12 + l_linenumber) * 60 AS BIGINT) AS start_min, CAST((12 + l_linenumber) * 60 + 90 AS BIGINT) AS end_min FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 10 = 0""")
 def programme_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    return _programme_lines(table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0"), table(spark, sf_dir, "part"))
+
+
+@query("""SELECT l_orderkey AS post_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, p_name) - 1 AS BIGINT) AS nth, p_name AS name, CAST((12 + l_linenumber) * 60 AS BIGINT) AS start_min, CAST((12 + l_linenumber) * 60 + 90 AS BIGINT) AS end_min FROM lineitem JOIN part ON p_partkey = l_partkey""")
+def programme_lines_whole(spark, sf_dir):
+    return _programme_lines(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
+
+
+def _programme_lines(lines, parts):
+    lines = lines.join(parts, F.col("p_partkey") == F.col("l_partkey"))
     clock = F.format_string("PM %d:00~%d:30", F.col("l_linenumber"), F.col("l_linenumber") + 1)
     told = F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat_ws(" ", "p_name", clock).alias("line"))))
     posts_ = lines.groupBy(F.col("l_orderkey").alias("post_id")).agg(F.array_join(told.getField("line"), "\n").alias("body"))
@@ -107,7 +126,15 @@ def weekly_days(spark, sf_dir):
 
 @query(f"WITH {_CANDIDATES} SELECT post_id, event_date, CASE WHEN post_id % 2 = 0 THEN start_min ELSE 1140 END AS start_min, COALESCE(fee, 9000) AS fee, concat_ws(',', CASE WHEN post_id % 2 = 1 THEN 'start_min' END, CASE WHEN fee IS NULL THEN 'fee' END) AS filled FROM c WHERE post_id % 20 < 2")
 def image_fallback(spark, sf_dir):
-    told = posts(spark, sf_dir).filter("post_id % 20 < 2")
+    return _image_fallback(posts(spark, sf_dir).filter("post_id % 20 < 2"))
+
+
+@query(f"WITH {_CANDIDATES} SELECT post_id, event_date, CASE WHEN post_id % 2 = 0 THEN start_min ELSE 1140 END AS start_min, COALESCE(fee, 9000) AS fee, concat_ws(',', CASE WHEN post_id % 2 = 1 THEN 'start_min' END, CASE WHEN fee IS NULL THEN 'fee' END) AS filled FROM c")
+def image_fallback_whole(spark, sf_dir):
+    return _image_fallback(posts(spark, sf_dir))
+
+
+def _image_fallback(told):
     found = announcements.candidates(told).withColumn("start_min", F.when(F.col("post_id") % 2 == 0, F.col("start_min")))
     ocr = told.select("post_id", F.lit("PM 7:00~9:00\n입장료 9,000원").alias("ocr_text"), "published")
     return announcements.filled_from_images(found, ocr).select("post_id", "event_date", F.col("start_min").cast("long").alias("start_min"), "fee", "filled")

@@ -47,9 +47,18 @@ def relevance_union(spark, sf_dir):
 @query("""WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day), t AS (SELECT DISTINCT event_type FROM events), c AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE user_id % 5 = 0 GROUP BY 1, 2)
 SELECT t.event_type, d.day, CAST(COALESCE(n, 0) AS BIGINT) AS n FROM d CROSS JOIN t LEFT JOIN c ON c.event_type = t.event_type AND c.day = d.day""")
 def usage_daily(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    spine = e.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date"))).alias("day"))
-    counts = e.filter("user_id % 5 = 0").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return _usage_daily(spark, sf_dir, table(spark, sf_dir, "events").filter("user_id % 5 = 0"))
+
+
+@query("""WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day), t AS (SELECT DISTINCT event_type FROM events), c AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT t.event_type, d.day, CAST(COALESCE(n, 0) AS BIGINT) AS n FROM d CROSS JOIN t LEFT JOIN c ON c.event_type = t.event_type AND c.day = d.day""")
+def usage_daily_whole(spark, sf_dir):
+    return _usage_daily(spark, sf_dir, table(spark, sf_dir, "events"))
+
+
+def _usage_daily(spark, sf_dir, counted):
+    spine = table(spark, sf_dir, "events").select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date"))).alias("day"))
+    counts = counted.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     return spine.join(counts, ["event_type", "day"], "left").fillna(0, ["n"])
 
 

@@ -69,8 +69,16 @@ def presented_events(spark, sf_dir):
 
 @query(f"WITH {EVENTS_SQL} SELECT event_id AS asked, COALESCE(canonical_id, event_id) AS event_id FROM ev WHERE event_id % 7 = 0 AND event_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')")
 def lookup_with_redirect(spark, sf_dir):
-    asked = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("event_id")).distinct().filter("event_id % 7 = 0")
-    return search.redirected(asked, events(spark, sf_dir))
+    return search.redirected(_asked(spark, sf_dir).filter("event_id % 7 = 0"), events(spark, sf_dir))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT event_id AS asked, COALESCE(canonical_id, event_id) AS event_id FROM ev WHERE event_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')")
+def lookup_with_redirect_whole(spark, sf_dir):
+    return search.redirected(_asked(spark, sf_dir), events(spark, sf_dir))
+
+
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_orderkey").alias("event_id")).distinct()
 
 
 @query(f"WITH {EVENTS_SQL} SELECT source_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY event_id) AS k FROM ev) WHERE k = 1")
