@@ -14,12 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table as a stream of files; ts as a timestamp with a time zone, as watermarks need."""
+def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table as a stream of files; ts as a timestamp with a time zone, as watermarks need.
+
+    Without ``files_per_batch`` all files there now are one batch.  A history
+    is drained so: its files may be in any order, and a watermark that an
+    earlier batch has set would leave out rows behind it.
+    """
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rstrip("/").rpartition("/")
     is_file = name.endswith(".parquet") and not spark.read.parquet(path).isEmpty() and len(spark.read.parquet(path).inputFiles()) == 1
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4)
+    source = spark.readStream.schema(schema)
+    if files_per_batch:
+        source = source.option("maxFilesPerTrigger", files_per_batch)
     stream = source.option("pathGlobFilter", name).parquet(folder) if is_file else source.parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -36,25 +43,37 @@ def sessions(events: DataFrame, gap: str = "1 hour", late: str = "2 hours") -> D
     return counted.select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
-def first_seen(events: DataFrame, keys: list[str], late: str = "2 hours") -> DataFrame:
-    """The first row of each key: NEW items of an intake; keys are forgotten after ``late``."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+def first_seen(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of each key: NEW items of an intake; no key is forgotten, however late it comes again."""
+    return events.dropDuplicates(keys)
 
 
 def failure_streaks(events: DataFrame) -> DataFrame:
-    """user_id, streak, last_event after every batch, from state kept by user: failures since the last success."""
+    """user_id, streak, last_event after every batch: failures since the last success, in order of (ts, event_id).
+
+    Batches may come in any order of ts: the state of a user has the last row,
+    the last success, and the failures after it, which a success that comes
+    late can still cut off.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        streak, last = state.get if state.exists else (0, -1)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        failed = (rows["event_type"] == "error").to_numpy()
-        passed = (~failed).nonzero()[0]
-        streak = int(streak + len(failed)) if not len(passed) else int(len(failed) - 1 - passed[-1])
-        last = int(rows["event_id"].iloc[-1])
-        state.update((streak, last))
-        yield pd.DataFrame({"user_id": [key[0]], "streak": [streak], "last_event": [last]})
-
-    return events.groupBy("user_id").applyInPandasWithState(fold, "user_id long, streak long, last_event long", "streak long, last_event long", "update", "NoTimeout")
+        last, passed, times, ids = None, None, [], []
+        if state.exists:
+            last_ts, last_id, passed_ts, passed_id, times, ids = state.get
+            last = (last_ts, last_id)
+            passed = None if passed_ts is None else (passed_ts, passed_id)
+        failed = list(zip(times, ids))
+        for rows in batches:
+            at = list(zip(rows["ts"].astype("datetime64[us]").astype("int64").tolist(), rows["event_id"].tolist()))
+            wrong = (rows["event_type"] == "error").tolist()
+            last = max([*at, *[last] * (last is not None)])
+            passed = max([x for x, w in zip(at, wrong) if not w] + [passed] * (passed is not None), default=None)
+            failed = [x for x in failed + [x for x, w in zip(at, wrong) if w] if passed is None or x > passed]
+        state.update((*last, *(passed or (None, None)), [x[0] for x in failed], [x[1] for x in failed]))
+        yield pd.DataFrame({"user_id": [key[0]], "streak": [len(failed)], "last_event": [last[1]]})
+
+    kept = "last_ts long, last_id long, passed_ts long, passed_id long, times array<long>, ids array<long>"
+    return events.groupBy("user_id").applyInPandasWithState(fold, "user_id long, streak long, last_event long", kept, "update", "NoTimeout")
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
