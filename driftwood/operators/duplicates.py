@@ -128,20 +128,24 @@ def period_conflicts(periods: DataFrame, most_gap: int) -> DataFrame:
 
 
 def greedy_clique(edges: DataFrame, group: str) -> DataFrame:
-    """group, member of a set of mutually joined members in each group: members in order of id, each kept if joined to all kept ones."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        joined: dict = {}
-        for a, b in zip(rows["a"], rows["b"]):
-            joined.setdefault(a, set()).add(b)
-            joined.setdefault(b, set()).add(a)
-        kept: list = []
-        for member in sorted(joined):
-            if all(k in joined[member] for k in kept):
-                kept.append(member)
-        return pd.DataFrame({group: [rows[group].iloc[0]] * len(kept), "member": kept})
-
-    return edges.select(group, "a", "b").groupBy(group).applyInPandas(walk, f"{group} {dict(edges.dtypes)[group]}, member {dict(edges.dtypes)['a']}")
+    """group, member of the largest set that greedy search finds in each group; of equal sets that of the smallest start.
+
+    Every member is a start once: then members in order of id, each kept if
+    joined to all kept ones.  A trial needs its start's neighbours only, so it
+    is a row of (group, start), and no group goes to one task.
+    """
+    one = edges.select(group, "a", "b").filter("a <> b")
+    both = one.unionAll(one.select(group, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    near = both.groupBy(group, "a").agg(F.collect_set("b").alias("near"))
+    start = both.alias("e").join(near.alias("s"), F.col(f"e.{group}").eqNullSafe(F.col(f"s.{group}")) & (F.col("e.a") == F.col("s.a")))
+    start = start.select(F.col(f"e.{group}").alias(group), F.col("e.a").alias("a"), F.col("e.b").alias("b"), F.col("s.near").alias("near"))
+    met = start.alias("e").join(near.alias("t"), F.col(f"e.{group}").eqNullSafe(F.col(f"t.{group}")) & (F.col("e.b") == F.col("t.a")))
+    common = F.array_intersect("e.near", "t.near").alias("common")
+    trials = met.select(F.col(f"e.{group}").alias(group), F.col("e.a").alias("a"), F.col("e.b").alias("b"), common).groupBy(group, "a").agg(F.array_sort(F.collect_list(F.struct("b", "common"))).alias("others"))
+    none = F.array().cast(f"array<{dict(edges.dtypes)['a']}>")
+    kept = F.aggregate("others", none, lambda set_, x: F.when(F.size(F.array_except(set_, x["common"])) == 0, F.array_append(set_, x["b"])).otherwise(set_))
+    best = trials.select(group, "a", kept.alias("kept")).groupBy(group).agg(F.min_by(F.array_append("kept", F.col("a")), F.struct(-F.size("kept"), "a")).alias("kept"))
+    return best.select(group, F.explode("kept").alias("member"))
 
 
 def tagged(texts: DataFrame, terms: list[str]) -> DataFrame:

@@ -128,9 +128,16 @@ def clique_members(spark, sf_dir):
 
 @query(None)
 def independent_cliques(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").filter("l_suppkey % 12 <> l_partkey % 12 and l_linenumber = 1")
-    edges = lines.select((F.col("l_orderkey") % 50).alias("g"), (F.col("l_suppkey") % 12).alias("a"), (F.col("l_partkey") % 12).alias("b")).distinct()
-    return duplicates.greedy_clique(edges, "g")
+    return duplicates.greedy_clique(_independent(spark, sf_dir), "g")
+
+
+@query(None)
+def clique_members_whole(spark, sf_dir):
+    return duplicates.greedy_clique(_independent(spark, sf_dir), "g").groupBy("g").agg(F.count("*").alias("members"))
+
+
+def _independent(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").filter("l_suppkey <> l_partkey").select(F.col("l_orderkey").alias("g"), F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"))
 
 
 @query("""WITH q AS (SELECT c_custkey, 'Nation ' || c_nationkey AS t1, 'NATION_' || (c_nationkey % 7) AS t2 FROM customer), k AS (SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS key FROM nation)
