@@ -4,7 +4,7 @@ Documents are tokenised and cut into pieces of at most ``capacity`` tokens.
 Pieces are dealt into groups of bounded size; each group is packed best-fit in
 order of falling length.  Bins that are nearly full are final; the others go on
 as items into fewer groups of the next level, where best-fit fills them with
-each other, until one group is left or a level no longer saves a tenth.
+each other, as long as groups of bounded size are fewer and a level saves a tenth.
 """
 
 from __future__ import annotations
@@ -157,11 +157,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_I
         full = F.col("length") >= F.lit(int(capacity * NEARLY_FULL))
         rest = bins.filter(~full)
         left = rest.count()
-        if groups == 1 or left > 0.9 * count:
+        fewer = max(1, -(-groups // fan_in), -(-left // group_items))
+        if fewer == groups or left > 0.9 * count:
             done.append(bins)
             break
         done.append(bins.filter(full))
-        level, count, groups = rest, left, max(1, min(-(-groups // fan_in), -(-left // group_items)))
+        level, count, groups = rest, left, fewer
     # the offset of a member is the sum of lengths before it
     placed = None
     for bins in done:

@@ -1,9 +1,11 @@
 """Packing where texts are out of the ordinary."""
 
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftwood.llm import packing
 
@@ -19,3 +21,24 @@ def test_a_run_of_a_million_blanks_is_packed(spark, blank):
     rows = sorted((r for r in packing.packed_documents(docs).collect() if r["doc_id"] == 1), key=lambda r: r["piece"])
     assert sum(r["length"] for r in rows) == len(want)
     assert all(zlib.crc32(want[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in rows)
+
+
+def test_no_level_packs_more_items_at_once_than_a_group_holds(spark, monkeypatch, tmp_path):
+    pack_ = packing._pack
+
+    def told(capacity):
+        run = pack_(capacity)
+
+        def count(key, table):
+            (tmp_path / f"{key[0]}-{time.time_ns()}").write_text(str(table.num_rows))
+            return run(key, table)
+
+        return count
+
+    monkeypatch.setattr(packing, "_pack", told)
+    # two to a bin, and no bin nearly full: half of the items go on
+    pieces = spark.range(6400).select(F.col("id").cast("string").alias("item"), (400 + F.col("id") % 100).alias("length"))
+    placed = packing.pack(pieces, group_items=100, fan_in=8)
+    assert placed.select("item").distinct().count() == placed.count() == 6400
+    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert max(sizes) < 200
