@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions.numbers import clamp
-from ..operators import supply
+from ..functions.text import folded_key, similarity
+from ..operators import resolution, supply
 from .registry import query, table
 from .shapes import EVENTS_SQL, events
 
@@ -120,6 +121,13 @@ def unresolved_clusters(spark, sf_dir):
     return supply.seeded_clusters(table(spark, sf_dir, "part").select(F.col("p_name").alias("text")).distinct(), 4)
 
 
+@query(None)
+def unresolved_clusters_whole(spark, sf_dir):
+    texts = table(spark, sf_dir, "part").select(F.col("p_name").alias("text")).distinct()
+    places = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("alias"))
+    return resolution.clustered(texts, places, folded_key, similarity)
+
+
 @query("""SELECT p_type AS text, CAST(count(*) AS BIGINT) AS n_all, CAST(count(*) FILTER (WHERE l_returnflag = 'N') AS BIGINT) AS n_live, CAST(max(l_shipdate) AS DATE) AS last_day FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 ORDER BY n_live DESC, n_all DESC, text LIMIT 30""")
 def unresolved_queue(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
