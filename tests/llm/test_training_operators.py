@@ -380,4 +380,21 @@ def test_fingerprint_edges_and_merging(spark):
     h = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2)
     small, large = fingerprints.sketch(h[:1000]), fingerprints.sketch(h)
     assert abs(fingerprints.containment(small, large) - 1) < 0.05 and abs(fingerprints.containment(large, small) - 0.25) < 0.07
-    assert np.array_equal(fingerprints.merged(small, fingerprints.sketch(h[1000:]))[1], large[1])
+    assert np.array_equal(fingerprints.merged(small, fingerprints.sketch(h[1000:])).hashes, large.hashes)
+
+
+def test_every_document_keeps_the_same_fraction(spark, docs):
+    limit = (1 << 40) // fingerprints.SCALE
+    for r in fingerprints.fingerprints(docs).collect():
+        kept = fingerprints.read(r["fingerprint"])
+        assert fingerprints.written(kept) == r["fingerprint"]
+        assert not len(kept.hashes) or kept.hashes.max() < limit
+        assert abs(len(kept.hashes) - kept.size / fingerprints.SCALE) <= 5 * (kept.size / fingerprints.SCALE) ** 0.5 + 3
+
+
+def test_fingerprints_of_repeated_rows_and_short_copies(spark):
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (1, "other words"), (None, "a b c d e"), (None, None)]
+    found = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 5 and len({r["fingerprint"] for r in found if r["n_chars"] == 9}) == 1
+    # copies are known even where no hash of theirs is kept (the last row is followed by the first), and strangers are not alike
+    assert sorted(r["near_next"] for r in found) == [0.0, 0.0, 0.0, 1.0, 1.0]
