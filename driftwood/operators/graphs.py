@@ -9,43 +9,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir, which every executor sees.
+
+    Where that is unset a local session (one machine) gets a temporary folder;
+    on a cluster there is no folder to guess, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="driftwood-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/driftwood/graph-{uuid.uuid4().hex}"
+    return folder
+
+
+def stored(df: DataFrame, name: str = "graph") -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/driftwood/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) for edges (a, b).
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """node, root for every node of ``edges`` (a, b), root being the smallest node reachable.
+
+    Alternates large-star steps (every larger neighbour is linked to the least
+    node seen) and small-star steps (every node to its least neighbour); each
+    round is a stored table, and rounds grow with the logarithm of the longest
+    chain.  The least neighbour is combined before the shuffle; a hub's edges
+    meet its label in a join that adaptive execution splits.
+    """
+    pairs = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
+    state = None
+    while True:
+        found = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if found == state:
+            break
+        state = found
+        both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        linked = large.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        pairs = stored(linked.unionAll(small.select("a", F.col("m").alias("b"))).distinct(), name)
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(pairs.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
+def lineage(links: DataFrame) -> DataFrame:
+    """node, ancestor, depth (of the shortest way) for links (node, parent), up to the last ancestor.
 
-    Every round takes the least label among neighbours, then the label of that
-    label, so rounds grow with the logarithm of the longest path; each is a
-    stored table, and the loop ends when the sum of labels stops falling.
+    A round joins the farthest pairs found so far with all found, so reach
+    doubles; rounds end when no pair is new.  A node of a cycle is no ancestor
+    of itself.  Links without a parent end a line.
     """
-    both = _stored(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
-    labels = _stored(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
-    total = None
+    found = stored(links.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).filter("ancestor is not null and node <> ancestor").distinct(), "lineage")
+    reach, count = 1, found.count()
     while True:
-        now = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        if now == total:
-            return labels
-        total = now
-        near = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("root", "near").alias("root"))
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        labels = _stored(step.join(jump, "root", "left").select("node", F.coalesce("further", "root").alias("root")))
-
-
-def depth_first_lineage(links: DataFrame, most: int) -> DataFrame:
-    """node, ancestor, depth for acyclic links (node, parent), up to ``most`` steps."""
-    found = links.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).filter("ancestor is not null")
-    level = found
-    for depth in range(2, most + 1):
-        level = level.join(links.select(F.col("node").alias("ancestor"), "parent"), "ancestor").filter("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"))
-        found = found.unionAll(level)
-    return found
+        far = found.filter(F.col("depth") == reach).select("node", F.col("ancestor").alias("via"), "depth")
+        on = found.select(F.col("node").alias("via"), "ancestor", F.col("depth").alias("more"))
+        further = far.join(on, "via").filter("node <> ancestor").select("node", "ancestor", (F.col("depth") + F.col("more")).alias("depth"))
+        found = stored(found.unionAll(further).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "lineage")
+        now = found.count()
+        if now == count:
+            return found
+        reach, count = 2 * reach, now

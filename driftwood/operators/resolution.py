@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graphs import _stored
+from .graphs import stored
 
 #: Scores from which a suggestion is of medium or low confidence; an equal key is high.
 MEDIUM, LOW = 0.72, 0.45
@@ -93,17 +93,17 @@ def unresolved_clusters(names: DataFrame, links: DataFrame) -> DataFrame:
     decided once the least earlier one linked to it, of those that no seed has
     taken, is a seed or there is none.
     """
-    open_ = _stored(names.select("name", "place"))
-    links = _stored(links)
+    open_ = stored(names.select("name", "place"))
+    links = stored(links)
     seeds = open_.limit(0).select("name", "place")
     done = None
     while not open_.isEmpty():
-        alive = _stored(open_.select("name", "place", F.lit(False).alias("seed")).unionAll(seeds.select("name", "place", F.lit(True).alias("seed"))))
+        alive = stored(open_.select("name", "place", F.lit(False).alias("seed")).unionAll(seeds.select("name", "place", F.lit(True).alias("seed"))))
         of_place = alive.filter("place is not null").groupBy("place").agg(F.min(F.struct("name", "seed")).alias("first"))
         near = links.join(alive.select(F.col("name").alias("b"), "seed"), "b").filter("b < a").groupBy(F.col("a").alias("name")).agg(F.min(F.struct(F.col("b").alias("name"), "seed")).alias("linked"))
         state = open_.join(near, "name", "left").join(of_place, "place", "left")
         first = F.least(F.col("linked"), F.when(F.col("first.name") < F.col("name"), F.col("first")))
-        state = _stored(state.select("name", "place", first.alias("to")))
+        state = stored(state.select("name", "place", first.alias("to")))
         new = state.filter("to is null").select("name", "place")
         taken = state.filter("to.seed").select("name", F.col("to.name").alias("seed"))
         told = taken.unionAll(new.select("name", F.col("name").alias("seed")))
@@ -117,8 +117,8 @@ def clustered(texts: DataFrame, places: DataFrame, key: Callable[[Column], Colum
     """text, seed (keys) of distinct unresolved ``text``: of one suggested place from MEDIUM, or alike from 0.82; brackets aside."""
     core = F.trim(F.regexp_replace("text", r"[(\[（].*$", ""))
     texts = texts.select("text", F.when(core != "", core).otherwise(F.col("text")).alias("core"))
-    texts = _stored(texts.withColumn("name", key(F.col("core"))).filter("name <> ''"))
-    names = _stored(texts.select("name").distinct())
+    texts = stored(texts.withColumn("name", key(F.col("core"))).filter("name <> ''"))
+    names = stored(texts.select("name").distinct())
     same = lambda c: c
     found = suggestions(names, "name", "name", places.select("place", key(F.col("alias")).alias("alias")), same, likeness, 1).filter("confidence <> 'LOW'")
     seeds = unresolved_clusters(names.join(found.select("name", "place"), "name", "left"), alike_names(names, likeness))

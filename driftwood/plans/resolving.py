@@ -110,11 +110,11 @@ def cross_post_components(spark, sf_dir):
     return graphs.components(lines.select((F.col("l_partkey") % 400).alias("a"), (F.col("l_suppkey") + 100000).alias("b")).distinct())
 
 
-@query("""WITH l AS (SELECT o_orderkey AS node, CASE WHEN o_orderkey > 0 THEN o_orderkey // 2 END AS parent FROM orders), a AS (SELECT node, parent AS ancestor, 1 AS depth FROM l WHERE parent IS NOT NULL), b AS (SELECT a.node, l.parent AS ancestor, 2 AS depth FROM a JOIN l ON l.node = a.ancestor WHERE l.parent IS NOT NULL), c AS (SELECT b.node, l.parent AS ancestor, 3 AS depth FROM b JOIN l ON l.node = b.ancestor WHERE l.parent IS NOT NULL)
-SELECT node, ancestor, CAST(depth AS BIGINT) AS depth FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)""")
+@query("""WITH RECURSIVE l AS (SELECT o_orderkey AS node, CASE WHEN o_orderkey > 0 THEN o_orderkey // 2 END AS parent FROM orders), r AS (SELECT node, parent AS ancestor, 1 AS depth FROM l WHERE parent IS NOT NULL AND parent <> node
+UNION ALL SELECT r.node, l.parent, r.depth + 1 FROM r JOIN l ON l.node = r.ancestor WHERE l.parent IS NOT NULL) SELECT node, ancestor, CAST(depth AS BIGINT) AS depth FROM r""")
 def lineage(spark, sf_dir):
     links = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.when(F.col("o_orderkey") > 0, F.floor(F.col("o_orderkey") / 2).cast("long")).alias("parent"))
-    return graphs.depth_first_lineage(links, 3).withColumn("depth", F.col("depth").cast("long"))
+    return graphs.lineage(links).withColumn("depth", F.col("depth").cast("long"))
 
 
 @query("""WITH g AS (SELECT DISTINCT l_orderkey % 50 AS g, l_suppkey % 12 AS a, l_partkey % 12 AS b FROM lineitem WHERE l_suppkey % 12 <> l_partkey % 12 AND l_linenumber = 1), e AS (SELECT g, a, b FROM g UNION SELECT g, b, a FROM g), m AS (SELECT DISTINCT g, a AS x FROM e)

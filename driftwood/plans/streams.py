@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..streaming import incremental
@@ -11,8 +9,6 @@ from .registry import query, table
 
 
 def _stream(spark, sf_dir):
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="driftwood-"))
     return incremental.event_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet")
 
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graphs import shared_folder
+
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A Parquet table as a stream of files; ts as a timestamp with a time zone, as watermarks need.
@@ -79,7 +81,7 @@ def failure_streaks(events: DataFrame) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream gives for the data there now (trigger availableNow), as a table in the shared folder."""
     spark = stream.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/driftwood/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/driftwood/stream-{uuid.uuid4().hex}"
     out = f"{folder}/table"
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
