@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Code points that separate words, and the pattern of one word.
-WORD = r"[^\x20\x09-\x0D]+"
+from ..operators.graphs import shared_folder, stored
 
+__all__ = ["WORD", "numbered", "shared_folder", "stored", "table", "text_or_empty"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (single-machine tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="driftwood-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+#: Code points that separate words, and the pattern of one word.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/driftwood/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def numbered(df: DataFrame, number: str, name: str) -> DataFrame:
+    """``df`` stored with a number of its own for every row: fixed once written, whatever is computed again later."""
+    return stored(df.withColumn(number, F.monotonically_increasing_id()), name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -36,3 +36,45 @@ def test_keep_one_holds_its_limit(spark, percent):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     assert sorted(r["doc_id"] for r in neardup.keep_one(docs, percent=percent).collect()) == sorted(i for i in sets if find(i) == i)
+
+
+def test_one_id_over_two_texts_is_one_document(spark):
+    a = " ".join(f"a{k}" for k in range(60))
+    b = " ".join(f"b{k}" for k in range(60))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "alone here with five words"), (1, None), (None, a), (None, a), (5, ""), (2, a + " more")]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in found} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 5, True), (None, None, True)}
+    assert sorted(r["n_shingles"] for r in found if r["doc_id"] == 1) == [0, 56, 56]
+
+
+def test_keep_one_compares_rows(spark):
+    a = " ".join(f"a{k}" for k in range(60))
+    rows = [(2, a, "x"), (2, a, "x"), (None, a, "y"), (1, a + " more", "z"), (2, "unlike under one id here", "x"), (None, "only this row says so", "y"), (None, "only this row says so", "w"), (3, None, "v"), (3, None, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string")
+    kept = neardup.keep_one(docs, percent=80)
+    assert kept.columns == docs.columns
+    left = kept.collect()
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:4]) for r in left) == [(0, "only"), (1, "a0 a"), (2, "unli"), (3, ""), (3, "")]
+
+
+def test_hot_buckets_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIR_BLOCK", 3)
+    shared = " ".join(f"s{k}" for k in range(80))
+    texts = [shared + " " + " ".join(f"p{k}_{j}" for j in range(12 + k % 3)) for k in range(30)]
+    texts += [t + " end" for t in texts[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()} == {i: find(i) for i in range(len(sets))}
