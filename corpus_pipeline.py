@@ -22,8 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; a pair is linked from op1's limit, a likeness of 0.85."""
-    return keep_one(docs)
+    """One document of each near-duplicate group stays; a pair is linked from a likeness of 0.8."""
+    return keep_one(docs, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
