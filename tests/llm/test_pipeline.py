@@ -53,7 +53,7 @@ def test_near_dedup_leaves_the_first_of_each_group(stages):
         return x
 
     for (a, b), n in shared.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     assert sorted(r["doc_id"] for r in stages[2][1]) == sorted(i for i in sets if find(i) == i)
