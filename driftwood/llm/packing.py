@@ -2,9 +2,13 @@
 
 Documents are tokenised and cut into pieces of at most ``capacity`` tokens.
 Pieces are dealt into groups of bounded size; each group is packed best-fit in
-order of falling length.  Bins that are nearly full are final; the others go on
-as items into fewer groups of the next level, where best-fit fills them with
-each other, as long as groups of bounded size are fewer and a level saves a tenth.
+order of falling length.  Bins that are nearly full, or that no other item of
+the level fits into, are final; the others go on as items of the next level,
+dealt anew into fewer groups of the same bounded size, where best-fit fills
+them with each other.  Rounds end when one group held all items, or when a
+round over groups that bounded size does not let shrink saves less than
+LEAST_SAVED of its bins.  An item keeps its bin and place only; places in
+sequences follow by going up the levels.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import numbered, stored
 
 CAPACITY = 1024
 #: Id appended to every document.
@@ -30,6 +34,8 @@ GROUP_ITEMS = 40_000
 FAN_IN = 8
 #: A bin is final when at least this share is filled.
 NEARLY_FULL = 0.995
+#: A round that saves less than this share of its items is the last.
+LEAST_SAVED = 0.001
 
 _encoders: dict[str, object] = {}
 
@@ -125,68 +131,67 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pack(capacity: int):
+    """item, bin (the item that stands first in it), offset in the bin and the bin's length, for a group's items."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("item", "ascending")])
-        items, lengths, members = table.column("item").to_pylist(), table.column("length").to_pylist(), table.column("members").to_pylist()
-        out: list[list] = [[], [], []]
-        for b in best_fit(lengths, capacity):
-            out[0].append(items[b[0]])
-            out[1].append(sum(lengths[i] for i in b))
-            out[2].append([m for i in b for m in members[i]])
-        return pa.Table.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string()))], names=["item", "length", "members"])
+        items, lengths = table.column("item").to_numpy(), table.column("length").to_numpy()
+        bins = best_fit(lengths.tolist(), capacity)
+        order = np.array([i for b in bins for i in b], np.int64)
+        sizes = np.array([len(b) for b in bins], np.int64)
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(lengths[order])]).astype(np.int64)
+        start, end = before[first], before[first + sizes]
+        return pa.table({"item": items[order], "bin": np.repeat(items[order[first]], sizes), "offset": before[:-1] - np.repeat(start, sizes), "filled": np.repeat(end - start, sizes)})
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, fan_in: int = FAN_IN) -> DataFrame:
-    """``pieces`` (item string, unique; length) with sequence_id and offset, as item, sequence_id, offset.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_items: int = GROUP_ITEMS, fan_in: int = FAN_IN, least_saved: float = LEAST_SAVED) -> DataFrame:
+    """``pieces`` (item long, unique; length) with sequence_id and offset, as item, sequence_id, offset.
 
-    Pieces of full length are sequences of their own.  Groups are dealt by the
-    item's hash, so no length, document or source can crowd one task.
+    Pieces of full length are sequences of their own.  A sequence is numbered
+    by its first item.  Groups are dealt by the item's hash, so no length,
+    document or source can crowd one task, and a group has about
+    ``group_items`` items at most at every level.
     """
-    # unique numbers, not hashes: hashes of 64 bits meet from a billion sequences on; the low bits tell the levels apart
-    number = lambda level: (F.monotonically_increasing_id() * 64 + level).alias("sequence_id")
-    whole = pieces.filter(F.col("length") >= capacity).select("item", number(63), F.lit(0).cast("long").alias("offset"))
-    level = stored(pieces.filter(F.col("length") < capacity).select("item", "length", F.array(F.concat_ws("|", "item", "length")).alias("members")), "pack")
-    count, done = level.count(), []
+    whole = pieces.filter(F.col("length") >= capacity).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    level = pieces.filter(F.col("length") < capacity).select("item", "length")
+    count, levels = level.count(), []
     groups = max(1, -(-count // group_items))
     while count:
-        keyed = level.withColumn("group", F.pmod(F.xxhash64("item", F.lit(groups)), F.lit(groups)))
-        packed = keyed.select("group", "item", "length", "members").groupBy("group").applyInArrow(_pack(capacity), "item string, length long, members array<string>")
-        bins = stored(packed.select("*", number(min(len(done), 62))), "bins")
-        full = F.col("length") >= F.lit(int(capacity * NEARLY_FULL))
-        rest = bins.filter(~full)
-        left = rest.count()
+        keyed = level.withColumn("group", F.pmod(F.xxhash64("item", F.lit(len(levels))), F.lit(groups)))
+        placed = stored(keyed.groupBy("group").applyInArrow(_pack(capacity), "item long, bin long, offset long, filled long"), "level")
+        levels.append(placed)
+        if groups == 1:
+            break
+        bins = placed.filter("item = bin").select("item", F.col("filled").alias("length"))
+        least = bins.agg(F.min("length")).first()[0]
+        level = bins.filter((F.col("length") < int(capacity * NEARLY_FULL)) & (F.col("length") + least <= capacity))
+        left = level.count()
         fewer = max(1, -(-groups // fan_in), -(-left // group_items))
-        if fewer == groups or left > 0.9 * count:
-            done.append(bins)
+        if left > (1 - least_saved) * count and fewer == groups:
             break
-        done.append(bins.filter(full))
-        level, count, groups = rest, left, fewer
-    # the offset of a member is the sum of lengths before it
-    placed = None
-    for bins in done:
-        each = bins.select("sequence_id", F.posexplode("members").alias("at", "member"))
-        placed = each if placed is None else placed.unionAll(each)
-    if placed is None:
-        packed = whole
-    else:
-        placed = placed.select("sequence_id", "at", F.substring_index("member", "|", 1).alias("item"), F.substring_index("member", "|", -1).cast("long").alias("length"))
-        before = Window.partitionBy("sequence_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-        packed = whole.unionAll(placed.select("item", "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")))
-    return packed
+        count, groups = left, min(groups, fewer)
+    if not levels:
+        return whole
+    # from the last level down: a bin that went on has its place in the level above
+    spots = levels[-1].select("item", F.col("bin").alias("sequence_id"), "offset")
+    for placed in reversed(levels[:-1]):
+        above = spots.select(F.col("item").alias("bin"), F.col("sequence_id").alias("over"), F.col("offset").alias("base"))
+        spots = placed.join(above, "bin", "left").select("item", F.coalesce("over", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"))
+    return whole.unionAll(spots)
 
 
 def packed_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k", capacity: int = CAPACITY, with_ids: bool = False, group_items: int = GROUP_ITEMS, fan_in: int = FAN_IN) -> DataFrame:
     """Every piece of ``docs`` with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null text is empty text: one piece of the end id.  Rows that repeat a
-    doc_id are packed each (an occurrence number keeps them apart); null doc_id
-    too.  Other columns play no part.  With ``with_ids`` the ids come along.
+    Null text is empty text: one piece of the end id.  Rows that repeat, share
+    a doc_id or have none are packed each: a piece is known by a number of its
+    own.  Items of one length go by that number.  No rows in: no rows out.
+    Other columns play no part.  With ``with_ids`` the ids come along.
     """
-    pieces = stored(token_pieces(docs, vocabulary, capacity, with_ids), "pieces")
-    same = Window.partitionBy("doc_id", "piece").orderBy("length", "ids_crc32")
-    pieces = stored(pieces.withColumn("item", F.concat_ws("_", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "piece", F.row_number().over(same))), "items")
+    pieces = numbered(token_pieces(docs, vocabulary, capacity, with_ids), "item", "pieces")
     spots = pack(pieces.select("item", "length"), capacity, group_items, fan_in)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     return pieces.join(spots, "item").select(*columns, "sequence_id", "offset")
