@@ -127,6 +127,59 @@ def test_top_k_is_exact(spark):
     assert not found
 
 
+def test_top_k_of_repeated_rows_and_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (100, [2.0, 1.0]), (100, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [3.0, 3.0])]
+    found = vectors.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=4, vector_block=2, query_block=1).collect()
+    by = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        by[r["query_id"]].append((r["vec_id"], r["score"] >> 20))
+    # 100 asks with the least of its vectors; rows that repeat are candidates each time
+    assert by == {0: [(2, 3), (100, 2), (1, 1), (1, 1)], 100: [(2, 3), (1, 1), (1, 1), (0, 0)]}
+
+
+def test_a_vector_on_a_third_of_all_rows(spark):
+    rnd = np.random.default_rng(9)
+    vs = np.floor(rnd.normal(size=(600, 8)) * 1024).astype(np.int64)
+    vs[::3] = vs[0]
+    ids = [7 if i % 5 == 0 else i for i in range(600)]
+    ids[0] = 100
+    frame = spark.createDataFrame([(i, [x / 1024 for x in v]) for i, v in zip(ids, vs.tolist())], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in vectors.top_k(frame, F.col("vec_id").isin(7, 100, 200, 201, 300), k=5, vector_block=64).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in (7, 100, 201):
+        asking = min((v for i, v in zip(ids, vs.tolist()) if i == q))
+        want = sorted(((int(np.dot(asking, v)), i) for i, v in zip(ids, vs.tolist()) if i != q), key=lambda x: (-x[0], x[1]))[:5]
+        assert found[q] == [(i, s) for s, i in want]
+
+
+def test_vectors_too_long_for_64_bits_raise(spark):
+    frame = spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        vectors.top_k(frame, F.col("vec_id") % 100 == 0).collect()
+
+
+def test_exact_vectors_are_read_for_survivors_only(spark):
+    """Cells leave few of many vectors, and what they leave holds the best."""
+    rnd = np.random.default_rng(8)
+    vs = np.floor(rnd.normal(size=(3000, 16)) * 1024).astype(np.int64)
+    low = vs.min(axis=0)
+    width = (vs.max(axis=0) - low) // 256 + 1
+    cells = ((vs - low) // width).astype(np.uint8)
+    import pyarrow as pa
+
+    side = pa.table({"row": np.arange(3000), "vec_id": np.arange(3000), "dim": np.full(3000, 16), "cells": pa.array([c.tobytes() for c in cells], pa.binary())})
+    asked = pa.table({"query_id": np.arange(20), "sure": np.full(20, -np.inf), "q": pa.array([v.tobytes() for v in vs[:20]], pa.binary())})
+    found = vectors._reaching(10, {16: low}, {16: width})((), side, asked)
+    assert found.num_rows < 20 * 60
+    by = defaultdict(set)
+    for q, row in zip(found.column("query_id").to_pylist(), found.column("row").to_pylist()):
+        by[q].add(row)
+    for q in range(20):
+        scores = vs @ vs[q]
+        assert set(sorted((i for i in range(3000) if i != q), key=lambda i: (-scores[i], i))[:10]) <= by[q]
+
+
 def test_mixing(spark, docs):
     rows = mixing.mixture(docs, bucket_rows=7).collect()
     text = {r["doc_id"]: r for r in docs.collect()}
