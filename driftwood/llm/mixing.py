@@ -2,13 +2,14 @@
 
 Every source has a target of words and a schedule of relative weight over
 training time 0..1.  The schedule's integral, scaled to the target, is the
-source's cumulative demand; a document copy that starts at word ``x`` of the
-source's stream goes to the time where demand reaches ``x``.  Copies are then
-range-sorted by that time.
-
-A source's stream is its documents in the order of their ids' md5, repeated as often as the
-target needs.  Positions in the stream come from two levels of sums (buckets,
-then inside buckets), so no task holds a whole source.
+source's cumulative demand.  A copy of a document that starts at word ``x`` of
+the source's stream has the position at which demand reaches ``x``; the copies
+whose position lies inside training are the ones taken, and they are
+range-sorted by it.
+
+A source's stream is its documents in the order of their ids' md5, repeated as
+often as the target needs.  Places in the stream come from two levels of sums
+(buckets, then inside buckets), so no task holds a whole source.
 """
 
 from __future__ import annotations
@@ -91,61 +92,84 @@ def time_of_demand(share: Column, nth: Column, schedules: Sequence[Sequence[floa
     return chosen
 
 
-def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_REPEATS, schedules: Sequence[Sequence[float]] = SCHEDULES, bucket_rows: int = BUCKET_ROWS, whole: bool = False) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken, copies, first_position.
+def _placed(docs: DataFrame, weights: Sequence[float], most: float, bucket_rows: int) -> DataFrame:
+    """``docs`` (source, size, at, doc_id, tie and more) with source_size, nth, target and before: the words of the source's stream before the row.
 
-    ``size`` counts words (null text: 0).  ``taken`` is what the mix takes of
-    the document, repeats counted: the source's stream is read from its start
-    up to the target, so each source's sum is its target rounded down, and the
-    last copy read may be cut.  With ``whole`` copies are not cut: one is taken
-    if its middle lies before the target.  ``copies`` counts (also cut) copies
-    and ``first_position`` is the first one's time in training, null if none.
-    Documents without words are never taken.  A source of no words has target
-    0.  Rows that repeat are rows of their own.  No rows in: no rows out.
+    Read twice: once for sums, of source, size and at only.
     """
-    order = F.coalesce(F.conv(F.left(F.md5(F.col("doc_id").cast("string")), F.lit(_ORDER_DIGITS)), 16, 10).cast("long"), F.lit(0))
-    columns = ["doc_id", "source", word_count().alias("size"), order.alias("at"), F.xxhash64("text").alias("tie")]
-    sized = stored(docs.select(*columns), "sizes")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    light = stored(docs.select("source", "size", "at"), "sizes")
+    per_source = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(per_source.select("source", "source_size"), weights, most)
-    targets = stored(targets.withColumnRenamed("source", "of").join(per_source.select("source", "n"), F.col("of").eqNullSafe(F.col("source"))).drop("of"), "targets")
+    targets = stored(targets.withColumnRenamed("source", "of").join(per_source, F.col("of").eqNullSafe(F.col("source"))).select("of", "nth", "weight", "target", "n", targets.source_size), "targets")
 
     # buckets are ranges of the hashed order, as many as the source's rows need
     share = F.col("at").cast("double") / F.lit(float(16**_ORDER_DIGITS))
-    keyed = sized.join(F.broadcast(targets) if targets.limit(10001).count() <= 10000 else targets, sized.source.eqNullSafe(targets.source)).drop(targets.source)
-    keyed = keyed.withColumn("bucket", F.floor(share * F.ceil(F.col("n") / F.lit(bucket_rows))).cast("long"))
-    sums = keyed.groupBy("nth", "bucket").agg(F.sum("size").alias("words"))
+    keyed = lambda rows: rows.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("bucket", F.floor(share * F.ceil(F.col("n") / F.lit(bucket_rows))).cast("long"))
+    sums = keyed(light).groupBy("nth", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("nth").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("nth").alias("s_nth"), F.col("bucket").alias("s_bucket"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base"))
+    starts = stored(sums.select(F.col("nth").alias("s_nth"), F.col("bucket").alias("s_bucket"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base")), "starts")
     inside = Window.partitionBy("nth", "bucket").orderBy("at", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = keyed(docs).withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, (F.col("nth") == F.col("s_nth")) & (F.col("bucket") == F.col("s_bucket"))).withColumn("before", F.col("before") + F.col("base"))
+    return placed.drop("s_nth", "s_bucket", "base", "bucket", "n", "weight", "at")
+
 
+def _copies(most: float, schedules: Sequence[Sequence[float]], whole: bool) -> Column:
+    """array<struct<position, words>> of a row's copies inside training, by position, from its size, before, source_size and target.
+
+    The copy's position is where the demand of its source, inverted, reaches
+    the copy's first word.  It takes its words up to the target; with ``whole``
+    all of them, if its middle lies before the target.
+    """
     goal = F.floor(F.col("target") + F.lit(1e-6)).cast("long")
-    rounds = F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long")
-    rest = goal - rounds * F.col("source_size") - F.col("before")
-    if whole:
-        part = F.when(rest * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))
-    else:
-        part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    placed = placed.withColumns({"rounds": rounds, "part": part})
-    copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("rounds") + (F.col("part") > 0).cast("long")).cast("long")
-    first = F.when(copies > 0, time_of_demand(F.col("before") / F.col("target"), F.col("nth"), schedules))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("part")).cast("long").alias("taken"), copies.alias("copies"), first.alias("first_position"), "nth", "before", "tie")
-
-
-def training_order(docs: DataFrame, **settings) -> DataFrame:
+
+    def copy(k: Column) -> Column:
+        start = k * F.col("source_size") + F.col("before")
+        left = goal - start
+        words = F.when(left * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long")) if whole else F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
+        return F.struct(time_of_demand(start / F.col("target"), F.col("nth"), schedules).alias("position"), words.alias("words"))
+
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(int(-(-most // 1))).cast("long")), copy)
+    return F.when(F.col("size") > 0, F.filter(every, lambda c: c.words > 0)).otherwise(F.array().cast("array<struct<position:double,words:bigint>>"))
+
+
+def _order() -> Column:
+    """The place of a row in its source's stream: digits of its id's md5, or of its text's where it has none."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("~"), text_or_empty()))
+    return F.conv(F.left(F.md5(key), F.lit(_ORDER_DIGITS)), 16, 10).cast("long")
+
+
+def mixture(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_REPEATS, schedules: Sequence[Sequence[float]] = SCHEDULES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken, copies, positions.
+
+    ``size`` counts words (null text: 0).  ``positions`` are the times in
+    training of the row's copies; ``taken`` is the sum of their words, so each
+    source's sum is its target rounded down, and the last copy read may be cut.
+    Documents without words are never taken.  A source of no words has target
+    0.  Rows that repeat are rows of their own; rows that tie in id and text
+    are alike, and share places in any order.  No rows in: no rows out.  Other
+    columns play no part.
+    """
+    sized = stored(docs.select("doc_id", "source", word_count().alias("size"), _order().alias("at"), F.xxhash64("text").alias("tie")), "sized")
+    placed = _placed(sized, weights, most, bucket_rows).withColumn("taken_copies", _copies(most, schedules, False))
+    taken = F.aggregate("taken_copies", F.lit(0).cast("long"), lambda s, c: s + c.words)
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.size("taken_copies").cast("long").alias("copies"), F.col("taken_copies.position").alias("positions"))
+
+
+def by_position(mixed: DataFrame) -> DataFrame:
+    """A mixture's rows range-sorted by their first position, those never taken last."""
+    first = F.get("positions", F.lit(0))
+    return mixed.withColumn("first_position", first).repartitionByRange(F.asc_nulls_last("first_position"), F.asc_nulls_last("doc_id")).sortWithinPartitions(F.asc_nulls_last("first_position"), F.asc_nulls_last("doc_id"))
+
+
+def training_order(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_REPEATS, schedules: Sequence[Sequence[float]] = SCHEDULES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``docs`` as the mix takes them: each row as many times as it has copies, range-sorted by training position.
 
-    Copies are whole.  Columns are those of ``docs``.
+    Copies are whole: one is taken if its middle lies before the target.
+    Columns are those of ``docs``; every row goes through the plan itself, so
+    rows that repeat are rows of their own.  Equal positions go by doc_id.
     """
-    schedules = settings.pop("schedules", SCHEDULES)
-    plan = mixture(docs, whole=True, schedules=schedules, **settings).filter("copies > 0")
-    own = ("copies", "nth", "before", "source_size", "target")
-    # the plan's columns get names of their own: the documents may have any
-    plan = stored(plan.select(F.col("doc_id").alias("_mix_id"), F.col("tie").alias("_mix_tie"), *[F.col(c).alias(f"_mix_{c}") for c in own]).dropDuplicates(["_mix_id", "_mix_tie"]), "plan")
-    taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.xxhash64("text").eqNullSafe(F.col("_mix_tie")))
-    taken = taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_copies") - 1)))
-    share = F.least((F.col("_mix_copy") * F.col("_mix_source_size") + F.col("_mix_before")) / F.col("_mix_target"), F.lit(1.0))
-    taken = taken.withColumn("_mix_position", time_of_demand(share, F.col("_mix_nth"), schedules))
-    return taken.repartitionByRange("_mix_position", "doc_id").sortWithinPartitions("_mix_position", "doc_id").select(*docs.columns)
+    # the documents' own columns travel in one, so that any names will do
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count().alias("size"), _order().alias("at"), F.xxhash64("text").alias("tie"))
+    placed = _placed(rows, weights, most, bucket_rows).select("row", "doc_id", F.explode(_copies(most, schedules, True)).alias("copy"))
+    return placed.repartitionByRange("copy.position", "doc_id").sortWithinPartitions("copy.position", "doc_id").select("row.*")

@@ -41,7 +41,7 @@ def _time(share: str, nth: str) -> str:
 
 _WEIGHT = "CASE " + " ".join(f"WHEN nth % {len(WEIGHTS)} = {k} THEN CAST({w} AS DOUBLE)" for k, w in enumerate(WEIGHTS)) + " END"
 
-MIXING = f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, COALESCE(left(md5(CAST(doc_id AS VARCHAR)), 15), '0') AS place FROM documents),
+MIXING = f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, left(md5(COALESCE(CAST(doc_id AS VARCHAR), '~' || COALESCE(text, ''))), 15) AS place FROM documents),
 a AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source), b AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS nth FROM a),
 c AS (SELECT *, {_WEIGHT} AS weight, source_size * {MOST_REPEATS} AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM b),
 e AS (SELECT *, COALESCE(CAST(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0.0) AS capped, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM c WINDOW w AS (ORDER BY cap / weight, nth)),
@@ -50,8 +50,8 @@ g AS (SELECT *, first_value(own IGNORE NULLS) OVER (ORDER BY cap / weight, nth R
 t AS (SELECT source, source_size, nth, CASE WHEN level IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), weight * level) END AS target FROM g),
 o AS (SELECT d.doc_id, d.source, size, source_size, nth, target, CAST(COALESCE(sum(size) OVER (PARTITION BY nth ORDER BY place, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS earlier, CAST(floor(target + 1e-6) AS BIGINT) AS goal FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS rounds FROM o), k AS (SELECT *, greatest(0, least(size, goal - rounds * source_size - earlier)) AS part FROM r),
-m AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE rounds + CAST(part > 0 AS BIGINT) END AS copies, earlier / target AS share FROM k)
-SELECT doc_id, source, size, source_size, target, CAST(rounds * size + part AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies, CASE WHEN copies > 0 THEN round({_time("share", "nth")}, 9) END AS first_position FROM m"""
+m AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE rounds + CAST(part > 0 AS BIGINT) END AS copies, earlier / target AS share FROM k), l AS (SELECT *, ((copies - 1) * source_size + earlier) / target AS last_share FROM m)
+SELECT doc_id, source, size, source_size, target, CAST(rounds * size + part AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies, CASE WHEN copies > 0 THEN round({_time("share", "nth")}, 9) END AS first_position, CASE WHEN copies > 0 THEN round({_time("last_share", "nth")}, 9) END AS last_position FROM l"""
 
 _CODED = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
 

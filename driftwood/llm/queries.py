@@ -12,7 +12,7 @@ from .common import table
 from .fingerprints import fingerprints
 from .langid import identified
 from .licenses import find_licenses
-from .mixing import mixture
+from .mixing import by_position, mixture
 from .neardup import near_duplicates
 from .oracle import ORACLES
 from .packing import packed_documents
@@ -32,7 +32,8 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", F.round("first_position", 9).alias("first_position"))
+    at = lambda k: F.round(F.try_element_at("positions", F.lit(k)), 9)
+    return by_position(mixture(table(spark, sf_dir, "documents"))).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", at(1).alias("first_position"), at(-1).alias("last_position"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

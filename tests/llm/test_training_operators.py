@@ -212,12 +212,38 @@ def test_mixing(spark, docs):
 def test_mixing_edges(spark):
     d = documents(spark, [None, "", "a b c", "d e", "f", "a b c"], ["x", "x", "y", None, "z", "y"])
     rows = {r["doc_id"]: r for r in mixing.mixture(d).collect()}
-    assert rows[0]["size"] == rows[0]["taken"] == rows[0]["target"] == 0 and rows[0]["first_position"] is None
+    assert rows[0]["size"] == rows[0]["taken"] == rows[0]["target"] == 0 and rows[0]["positions"] == []
     assert rows[3]["source"] is None and sum(r["taken"] for r in rows.values()) in (8, 9)
     ordered = mixing.training_order(d)
     assert ordered.columns == d.columns and max(Counter(r["doc_id"] for r in ordered.collect()).values()) <= 3
 
 
+def test_training_order_takes_every_row_by_itself(spark):
+    """Repeated rows, one id in two sources, rows without id: as many copies as the plan says, in order of position."""
+    d = documents(spark, ["a b c d"] * 3 + ["e f g"] * 2 + ["h"] * 7, ["x", "x", "x", "y", "y"] + ["z"] * 7)
+    d = d.withColumn("doc_id", F.when(F.col("doc_id") < 5, 1).when(F.col("doc_id") > 9, None).otherwise(F.col("doc_id"))).withColumn("before", F.lit("clash")).withColumn("row", F.lit(1))
+    plan = mixing.mixture(d).collect()
+    per, target = Counter(), {}
+    for r in plan:
+        per[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert len(r["positions"]) == r["copies"] and r["positions"] == sorted(r["positions"]) and all(0 <= p < 1 for p in r["positions"])
+    assert {s: int(target[s] + 1e-6) for s in target} == dict(per)
+    again = [sorted(map(str, mixing.training_order(d).collect())) for _ in range(2)]
+    assert again[0] == again[1] and mixing.training_order(d).columns == d.columns
+    words = Counter()
+    for r in mixing.training_order(d).collect():
+        words[r["source"]] += len(r["text"].split())
+    longest = {"x": 4, "y": 3, "z": 1}
+    assert all(abs(words[s] - target[s]) <= longest[s] / 2 + 1e-6 for s in target)
+
+
+def test_rows_come_in_order_of_position(spark, docs):
+    rows = mixing.by_position(mixing.mixture(docs)).collect()
+    first = [r["first_position"] for r in rows if r["first_position"] is not None]
+    assert first == sorted(first) and [r["first_position"] for r in rows[len(first) :]] == [None] * (len(rows) - len(first))
+
+
 def test_positions_invert_the_schedule(spark):
     shares = spark.range(101).select((F.col("id") / 100).alias("s"))
     for k, (a, m, b) in enumerate(mixing.SCHEDULES):
