@@ -315,6 +315,48 @@ def test_secrets(spark, docs):
         assert not r["spans"] or hashlib.sha256(secrets_of(text).encode()).hexdigest() == r["base_sha256"]
 
 
+def test_unlabelled_secrets_are_added_and_clean_texts_left_alone(spark, docs):
+    """Credentials of the labelled format, planted without a label into real texts: recall and precision of the added spans."""
+    rnd = random.Random(6)
+    base = [r for r in docs.select("doc_id", "text").orderBy("doc_id").collect() if r["text"] and len(r["text"]) > 40]
+    labelled = [(10_000 + i, 'ä token = "' + "".join(rnd.choice("0123456789abcdef") for _ in range(40)) + '"') for i in range(60)]
+    planted, rows = {}, []
+    for k, r in enumerate(base):
+        words = r["text"].split(" ")
+        if k % 3 == 0:
+            value = "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.randrange(18, 24)))
+            words.insert(rnd.randrange(len(words)), value)
+            planted[r["doc_id"]] = value
+        rows.append((r["doc_id"], " ".join(words)))
+    text = dict(rows)
+    found = {}
+    for r in secret_scan.find_secrets(spark.createDataFrame(rows + labelled, "doc_id long, text string")).collect():
+        found[r["doc_id"]] = [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("format")]
+        assert r["n_format"] == len(found[r["doc_id"]])
+    hits = sum(value in [text[i][a:b] for a, b in found[i]] for i, value in planted.items())
+    wrong = sum(text[i][a:b] != planted.get(i) for i in text for a, b in found[i])
+    assert hits >= 0.95 * len(planted) and wrong <= 0.02 * len(text), (hits, wrong, len(planted))
+
+
+def test_likelihoods_by_table_are_those_by_step():
+    rnd = random.Random(2)
+    automaton = secret_scan.infer([secret_scan.symbols("".join(rnd.choice("0123abcZ-") for _ in range(rnd.randrange(1, 9)))) for _ in range(300)])
+    tokens = ["".join(rnd.choice("0123abcZ-q") for _ in range(n)) for n in [*(rnd.randrange(1, 12) for _ in range(200)), 400, 90]]
+    text = "é ".join(tokens).encode()
+    data = np.frombuffer(text, np.uint8)
+    starts, ends = secret_scan.token_bounds(data, np.array([0, len(data)]))
+    assert [data[a:b].tobytes().decode() for a, b in zip(starts, ends)] == tokens
+    for give_up in (False, True):
+        steps, stop = secret_scan.log_likelihoods(automaton.tables(), data, starts, ends, give_up)
+        for t, x in zip(tokens, steps + stop):
+            costs = automaton.costs(secret_scan.symbols(t))
+            seen, state = True, 0
+            for c in secret_scan.symbols(t):
+                seen = seen and c in automaton.steps[state]
+                state = automaton.steps[state][c][0] if seen else 0
+            assert x == pytest.approx(sum(costs)) if seen or not give_up else x == -np.inf
+
+
 def test_redaction(spark):
     d = documents(spark, [None, "é token=abcdef123 end", "clean text"])
     rows = {r["doc_id"]: r for r in secret_scan.redacted(d).collect()}
