@@ -10,8 +10,9 @@ conversation and message in order of seq:
 
 Final messages are rendered with turn marks; text and role are escaped so that
 neither can hold a mark.  A loss mask lists the spans of the assistant's texts.
-Folding is spread by (conversation, message), so only the rendered string of a
-conversation is ever in one place.
+Folding is spread by (conversation, message), and costs in proportion to a
+message's events; only the rendered string of a conversation is ever in one
+place.  A conversation is one string, so it must fit a row (2 GB).
 """
 
 from __future__ import annotations
@@ -53,14 +54,16 @@ def messages(events: DataFrame) -> DataFrame:
     folded = folded.withColumn("cut", F.max("again").over(earlier))
     folded = folded.withColumn("events", F.when(F.col("cut").isNull(), F.col("events")).otherwise(F.filter("events", lambda e: e.seq > F.col("cut")))).filter(F.size("events") > 0)
 
-    def step(state: Column, e: Column) -> Column:
-        restart = e.kind.isin("message", "regenerate")
-        role = F.when(restart & (e.role != ""), e.role).when(state.role == "", e.role).otherwise(state.role)
-        text = F.when(restart | (e.kind == "edit"), e.text).when(e.kind == "delta", F.concat(state.text, e.text)).otherwise(state.text)
-        return F.struct(role.alias("role"), text.alias("text"))
-
-    final = F.aggregate("events", F.struct(F.lit("").alias("role"), F.lit("").alias("text")), step)
-    return folded.select("conv_id", "message", final.alias("final")).select("conv_id", "message", "final.role", "final.text")
+    # the text is that of the last event that sets it, and of the deltas behind that
+    sets = lambda e: e.kind.isin("message", "regenerate", "edit")
+    marked = folded.withColumn("from", F.greatest(F.lit(1), F.array_max(F.transform("events", lambda e, i: F.when(sets(e), i + 1).otherwise(F.lit(0))))))
+    since = F.slice("events", F.col("from"), F.size("events"))
+    text = F.array_join(F.transform(F.filter(since, lambda e: sets(e) | (e.kind == "delta")), lambda e: e.text), "")
+    # the role is the last that a message or a regeneration names, else the first that any event names
+    named = F.filter("events", lambda e: e.role != "")
+    by_start = F.filter(named, lambda e: e.kind.isin("message", "regenerate"))
+    role = F.coalesce(F.try_element_at(by_start, F.lit(-1))["role"], F.try_element_at(named, F.lit(1))["role"], F.lit(""))
+    return marked.select("conv_id", "message", role.alias("role"), text.alias("text"))
 
 
 def formatted(events: DataFrame, learner: str = LEARNER) -> DataFrame:
@@ -100,6 +103,30 @@ def events_of(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", place.alias("message"), F.coalesce("turn", F.lit((1 << 63) - 1)).alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
+#: Longest piece of a streamed answer.
+DELTA_CHARS = 400
+
+
+def logged(conversations: DataFrame, delta_chars: int = DELTA_CHARS) -> DataFrame:
+    """The log that a service might have kept of rows (conv_id, turn, role, text), as events in no order.
+
+    Learner's turns are streamed: the first answer, the text in capitals, is
+    broken off and regenerated, and the text then comes in deltas of at most
+    ``delta_chars`` code points.  Other turns are sent with a slip, which an
+    edit mends.  Folded, every message has its row's role and text again.
+    """
+    first = events_of(conversations).withColumn("text", F.coalesce("text", F.lit("")))
+    step = lambda k: F.struct("message.turn", "message.nth", (F.lit(k) if isinstance(k, int) else k).alias("step"))
+    event = lambda k, kind, role, text: F.struct(step(k).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    none, text = F.lit(None).cast("string"), F.col("text")
+    pieces = F.sequence(F.lit(0), F.floor(F.length("text") / F.lit(delta_chars)).cast("int"))
+    streamed = F.transform(pieces, lambda i: event(i + 3, "delta", none, F.substr(text, i * delta_chars + 1, F.lit(delta_chars))))
+    answer = F.concat(F.array(event(0, "message", F.col("role"), F.lit("")), event(1, "delta", none, F.upper(F.left(text, F.lit(delta_chars)))), event(2, "regenerate", none, F.lit(""))), streamed)
+    sent = F.array(event(0, "message", F.col("role"), F.reverse(text)), event(1, "edit", none, text))
+    log = first.select("conv_id", "message", F.explode(F.when(F.col("role") == LEARNER, answer).otherwise(sent)).alias("e"))
+    return log.select("conv_id", "message", "e.seq", "e.kind", "e.role", "e.text")
+
+
 def readback(chats: DataFrame) -> DataFrame:
     """What a formatted conversation says when parsed: the number and digest of its turns and of its learnt text."""
     turns = turns_of(F.col("formatted"))

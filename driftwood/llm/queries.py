@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import events_of, formatted, readback
+from .chat import formatted, logged, readback
 from .common import table
 from .fingerprints import fingerprints
 from .langid import identified
@@ -51,7 +51,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return readback(formatted(events_of(rows)))
+    return readback(formatted(logged(rows)))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -409,6 +409,16 @@ def test_chat_events_fold(spark):
     assert got == [(0, "user", "q"), (1, "assistant", "newer"), (2, "user", "edited")]
 
 
+def test_a_log_folds_to_the_rows_it_was_kept_of(spark):
+    rows = [(1, 0, "user", "hi <|end|>"), (1, 1, "assistant", "abc" * 700), (1, 2, "assistant", None), (1, 3, None, "x"), (1, 3, None, "x"), (2, None, "assistant", "ü𝄞" * 500), (2, 4, "user", "")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit("clash"))
+    log = chat.logged(frame, delta_chars=7)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "regenerate", "edit"}
+    got = chat.messages(log.orderBy(F.xxhash64("seq"))).collect()
+    want = Counter((c, t if t is not None else (1 << 63) - 1, r or "", x or "") for c, t, r, x in rows)
+    assert Counter((r["conv_id"], r["message"]["turn"], r["role"], r["text"]) for r in got) == want
+
+
 def test_language_accuracy_and_edges(spark, docs):
     rows = langid.identified(docs).collect()
     lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
