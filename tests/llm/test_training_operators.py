@@ -381,6 +381,45 @@ def test_licenses(spark):
     assert near["licenses"] == "mit"
 
 
+def test_licenses_against_an_exhaustive_scan(spark, docs):
+    """Notices and whole licenses with words exchanged, dropped and added in real texts; every template is held against every place."""
+    rnd = random.Random(21)
+    templates = [(name, re.findall("[a-z0-9]+", t.lower())) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    base = [r["text"] or "" for r in docs.select("text").orderBy("doc_id").limit(120).collect()]
+    texts = []
+    for k, text in enumerate(base):
+        words = text.split(" ")[:400]
+        name, template = templates[k % len(templates)]
+        copy = list(template)
+        for _ in range(rnd.choice([0, 0, 1, 2]) if len(copy) < 40 else rnd.randrange(4)):
+            at = rnd.randrange(len(copy))
+            copy[at : at + 1] = rnd.choice([[], ["changed"], [copy[at], "more"]])
+        words[len(words) // 2 : len(words) // 2] = copy
+        texts.append(" ".join(words))
+
+    def sets(words):
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    def contained(text):
+        words = re.findall("[a-z0-9]+", re.sub("[^\x00-\x7f]", "ü", text.lower()).replace("ü", "z"))
+        out = set()
+        for name, template in templates:
+            wanted = sets(template)
+            hits = [i for i in range(max(1, len(words) - 4)) if tuple(words[i : i + 5]) in wanted]
+            gap, run = max(12, 0.2 * len(wanted)), []
+            for i in [*hits, 1 << 40]:
+                if run and i - run[-1] > gap:
+                    if len({tuple(words[j : j + 5]) for j in run}) >= 0.8 * len(wanted):
+                        out.add(name)
+                    run = []
+                run.append(i)
+        return out
+
+    want = {(i, name) for i, t in enumerate(texts) for name in contained(t)}
+    got = {(r["doc_id"], name) for r in licenses.find_licenses(documents(spark, texts)).collect() for name in filter(None, r["licenses"].split(","))}
+    assert len(want) > 60 and len(got & want) >= 0.99 * len(want) and not got - want, (got - want, want - got)
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "hi <|end|>\n <|turn|>x &lt; [INST]"), (1, 1, "assistant", None), (1, 2, "assistant", "answer\n\n&amp; ü𝄞"), (2, 5, None, "only"), (2, 5, None, "only"), (3, None, "as\nsistant", "z"), (3, 1, "assistant", "a" * 50_000)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
