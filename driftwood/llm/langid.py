@@ -219,6 +219,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
     Null text and text without letters get ``und`` and score 0; any other text
     gets a learned language (``und`` if none was learned).  Spans are in code
     points, end exclusive.  Only the text decides; repeated rows repeat.
+    Languages that tie go by their name.  No rows in: no rows out.
     """
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
@@ -239,7 +240,12 @@ def identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, switch: float =
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.3, **settings) -> DataFrame:
-    """``docs`` without those in no known language or a hopeless mixture; all columns stay."""
+    """``docs`` without those in no known language or a hopeless mixture; all columns stay.
+
+    A row is judged by its text alone: rows that repeat stay or go together,
+    null ids play no part.  Null texts and texts without letters go.  Languages
+    that tie go by their name.  No rows in: no rows out.
+    """
     model = learn(docs, settings.get("sample_rows", SAMPLE_ROWS))
     switch, schema = settings.get("switch", SWITCH), docs.schema
 

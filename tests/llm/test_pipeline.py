@@ -108,3 +108,29 @@ def test_packing_holds_every_copy(stages):
             assert offset == at
             at += length
         assert at <= 1024
+
+
+def test_stages_take_an_empty_table(spark):
+    none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, none, SF)
+        assert found.collect() == [] and (name == "best_fit_packing" or found.columns == none.columns)
+
+
+def test_stages_take_repeated_rows_null_ids_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.limit(30)
+    odd = odd.unionAll(odd.limit(5)).unionAll(odd.limit(5).selectExpr("cast(null as bigint) doc_id", "text", "lang", "source", "n_chars")).unionAll(odd.limit(2).selectExpr("doc_id", "cast(null as string) text", "cast(null as string) lang", "cast(null as string) source", "cast(null as bigint) n_chars"))
+    clashing = odd.selectExpr("*", "1 as row", "2 as id", "3 as size", "4 as target", "5 as before", "6 as item", "7 as root", "8 as position", "9 as taken")
+    clashing = stored(clashing, "test")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stored(stage(spark, clashing, SF), name)
+        assert after.columns == clashing.columns
+        if name == "language_id":
+            assert after.count() == clashing.filter("text is not null").count()
+        if name == "near_dedup":
+            kept = [r["text"].lower() for r in after.collect()]
+            assert len(kept) == len(set(kept))
+        clashing = after
+    pieces = corpus_pipeline.STAGES[-1][1](spark, clashing, SF).collect()
+    assert sum(r["piece"] == 0 for r in pieces) == clashing.count()
