@@ -7,29 +7,50 @@ from pyspark.sql import functions as F
 
 from .text import host
 
-# Kinds of a failed request by status and message, tried in order.
-ERROR_KINDS = (("AUTH", (401, 403), r"login|forbidden|permission"), ("GONE", (404, 410), r"not found|deleted"), ("RATE_LIMITED", (429,), r"too many|rate limit"), ("TIMEOUT", (408, 504), r"time[d ]*out"), ("SERVER", (500, 502, 503), r"unavailable|bad gateway"), ("NETWORK", (), r"connection|dns|unreachable"))
-# Hints of what an image shows, tried in order.
-MEDIA_KINDS = (("LOGO", r"logo|icon|favicon|profile", 0.9), ("VENUE", r"map|venue|interior", 0.7), ("POSTER", r"poster|flyer|milonga|party|workshop", 0.8))
+# Words of an image's address or of the text beside it.
+EVENT_WORDS = r"poster|flyer|schedule|milonga|party|festival|workshop|포스터|일정"
+VENUE_WORDS = r"venue|interior|hall|studio|map|공간|내부"
+BRAND_WORDS = r"icon|brand|profile|favicon"
+RETRYABLE = ("NETWORK", "RATE_LIMITED")
 
 
 def error_kind(status: Column, message: Column) -> Column:
-    out = F.lit("UNKNOWN")
-    for kind, codes, words in reversed(ERROR_KINDS):
-        hit = F.coalesce(F.lower(message).rlike(words), F.lit(False))
-        if codes:
-            hit = hit | F.coalesce(status.isin(*codes), F.lit(False))
-        out = F.when(hit, kind).otherwise(out)
-    return out
-
-
-def media_kind(url: Column, text: Column) -> Column:
-    """struct(kind, score) by hints in an image's address and the text beside it."""
-    both = F.lower(F.concat_ws(" ", url, text))
-    out = F.struct(F.lit("UNKNOWN").alias("kind"), F.lit(0.0).alias("score"))
-    for kind, words, score in reversed(MEDIA_KINDS):
-        out = F.when(both.rlike(words), F.struct(F.lit(kind).alias("kind"), F.lit(score).alias("score"))).otherwise(out)
-    return out
+    """struct(kind, retryable) of a failed request; the first rule that holds decides.
+
+    Missing credentials come before any status; a malformed answer is told by
+    its decoder's message and comes last.
+    """
+    said = F.lower(F.coalesce(message, F.lit("")))
+    kind = (
+        F.when(F.contains(said, F.lit("not set")), "CREDENTIALS_MISSING")
+        .when(status == 401, "AUTH_FAILED")
+        .when(status == 403, "ACCESS_DENIED")
+        .when(status == 429, "RATE_LIMITED")
+        .when(status.between(500, 599) | said.rlike("network error|timed out|timeout"), "NETWORK")
+        .when(F.contains(said, F.lit("json")), "BAD_RESPONSE")
+        .otherwise("UNKNOWN")
+    )
+    return F.struct(kind.alias("kind"), kind.isin(*RETRYABLE).alias("retryable"))
+
+
+def media_kind(url: Column, text: Column, width: Column, height: Column) -> Column:
+    """struct(kind, score) of an image by its address, the text beside it and its size.
+
+    A logo that says so comes first; event words count but on a small square,
+    which is held to be an icon; then venue words; then a small image of a brand.
+    """
+    address, beside = F.lower(F.coalesce(url, F.lit(""))), F.lower(F.coalesce(text, F.lit("")))
+    says = lambda words: address.rlike(words) | beside.rlike(words)
+    square = F.coalesce((width <= 256) & (height <= 256) & (F.abs(width - height) <= 32), F.lit(False))
+    small = F.coalesce((width <= 512) & (height <= 512), F.lit(False))
+    made = lambda kind, score: F.struct(F.lit(kind).alias("kind"), F.lit(score).alias("score"))
+    return (
+        F.when(F.contains(address, F.lit("logo")) | beside.rlike(r"\blogo\b"), made("LOGO", 0.98))
+        .when(says(EVENT_WORDS), F.when(square, made("UNKNOWN", 0.45)).otherwise(made("EVENT_POSTER", 0.85)))
+        .when(says(VENUE_WORDS), made("VENUE_IMAGE", 0.75))
+        .when(address.rlike(BRAND_WORDS) & small, made("LOGO", 0.70))
+        .otherwise(made("UNKNOWN", 0.20))
+    )
 
 
 def community_identity(url: Column) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql.types import DoubleType, StringType
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 # What is taken out of public text, in this order, and its marks.
 REDACTIONS = (
-    (r"01[016789][-. ]?[0-9]{3,4}[-. ]?[0-9]{4}", "[PHONE]"),
-    (r"[0-9]{10,16}", "[ACCOUNT]"),
+    (r"0[0-9]{1,2}[-\s.]?[0-9]{3,4}[-\s.]?[0-9]{4}", "[PHONE]"),
+    (r"\b[0-9]{10,16}\b", "[ACCOUNT]"),
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
 )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,11 +11,19 @@ from pyspark.sql import functions as F
 from ..functions import extraction
 from ..functions.text import occurs
 
-# Words by which a post is told to be of a kind.
-RECAPS = ("후기", "영상", "사진", "recap", "review", "photos")
-CLASSES = ("lesson", "강습", "개강", "모집", "안무반", "공연반", "초중급", "전문가반", "워크샵", "워크숍", "workshop")
-MILONGAS = ("milonga", "밀롱가")
-SOCIALS = ("social", "소셜", "정모", "party", "파티")
+@dataclass(frozen=True)
+class Vocabulary:
+    """The words by which a post is told to be of a kind; a scene with others passes its own."""
+
+    recaps: Sequence[str] = ("후기", "사진", "영상", "recap", "photos", "review")
+    classes: Sequence[str] = ("강습", "수업", "워크샵", "워크숍", "class", "course", "lesson", "workshop")
+    milongas: Sequence[str] = ("밀롱가", "milonga")
+    socials: Sequence[str] = ("소셜", "파티", "정모", "social", "party")
+    doors: Sequence[str] = ("입장", "오픈", "doors", "open")
+    courses: Sequence[str] = ("개강", "수강", "회차", "weeks", "enrol", "register")
+
+
+VOCABULARY = Vocabulary()
 #: Fields that verification asks for, and roles whose word counts.
 CORE = ("event_date", "start_min", "end_min", "fee")
 TRUSTED = ("ORGANIZER", "OFFICIAL", "VENUE")
@@ -29,16 +38,36 @@ def any_of(words: Sequence[str], text: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def kind(title: Column, body: Column, known: Column) -> Column:
+def evidence(title: Column, body: Column, published: Column, words: Vocabulary = VOCABULARY) -> Column:
+    """struct of booleans: what a post's own words prove, each by a rule of its own.
+
+    - ``social``: a social word in the title, or in a line that also states a clock;
+    - ``party``: a day, an opening of doors with a clock, and a price, together;
+    - ``course``: sold as a course: a class word with enrolment or a number of sessions;
+    - ``night``: a night word in the title, and a day and a clock in the text;
+    - ``recap``: a recap word in the title.
+    """
+    whole, lines = F.concat_ws("\n", title, body), F.split(F.coalesce(body, F.lit("")), "\n")
+    clock = extraction.time_range(whole).isNotNull()
+    day, priced = extraction.event_date(whole, published).isNotNull(), extraction.fee(whole).getField("amount").isNotNull()
+    timed = lambda line: line.rlike(r"[0-9]{1,2}\s*(?::[0-9]{2}|시|[ap]m)") | line.rlike(r"(?i)[ap]m\s*[0-9]")
+    social = any_of(words.socials, title) | F.exists(lines, lambda line: any_of(words.socials, line) & timed(line))
+    opening = F.exists(lines, lambda line: any_of(words.doors, line) & timed(line))
+    course = any_of(words.classes, whole) & (any_of(words.courses, whole) | whole.rlike(r"(?i)[0-9]+\s*(?:주|회|weeks|sessions)"))
+    night = any_of([*words.milongas, *words.socials], title) & day & clock
+    return F.struct(social.alias("social"), (day & opening & priced).alias("party"), course.alias("course"), night.alias("night"), any_of(words.recaps, title).alias("recap"))
+
+
+def kind(title: Column, body: Column, known: Column, words: Vocabulary = VOCABULARY) -> Column:
     """The kind of event a post announces; the first rule that holds decides.
 
     A recap is no event whatever its board says; a collector's own knowledge
     comes next; a post that teaches and dances is both.
     """
     whole = F.concat_ws(" ", title, body)
-    teaches, milonga, social = (any_of(w, whole) for w in (CLASSES, MILONGAS, SOCIALS))
+    teaches, milonga, social = (any_of(w, whole) for w in (words.classes, words.milongas, words.socials))
     return (
-        F.when(any_of(RECAPS, title), "OTHER")
+        F.when(any_of(words.recaps, title), "OTHER")
         .when(known.isNotNull(), known)
         .when(milonga & teaches, "MILONGA_WITH_CLASS")
         .when(social & teaches, "SOCIAL_WITH_CLASS")

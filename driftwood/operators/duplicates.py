@@ -109,22 +109,22 @@ def representatives(members: DataFrame) -> DataFrame:
     return members.withColumn("_rank", rank).filter("_rank = 1").select("group_id", "event_id")
 
 
-def period_conflicts(periods: DataFrame, most_gap: int) -> DataFrame:
+def period_conflicts(periods: DataFrame, most_gap: int, width: int = 64) -> DataFrame:
     """a_id, b_id, gap of events of one name whose different periods lie within ``most_gap`` days.
 
-    An interval join: starts are put in buckets as wide as the longest period
-    and gap allow, each row is copied to its own and the next bucket, and the
-    theta condition runs inside buckets only.
+    An interval join: a row stands in every bucket of days that its period
+    touches, on one side widened by the gap, and a pair is met in the first
+    bucket it shares, so periods of any length are compared once.
     """
-    width = most_gap + 32
-    day = F.datediff("first_day", F.lit("1970-01-01").cast("date"))
-    rows = periods.withColumn("_bucket", F.floor(day / width))
-    left = rows.alias("a")
-    right = rows.withColumn("_bucket", F.explode(F.array(F.col("_bucket") - 1, F.col("_bucket"), F.col("_bucket") + 1))).alias("b")
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    bucket = lambda days: F.floor(days / width).cast("int")
+    spread = lambda rows, more: rows.withColumn("_from", bucket(day("first_day") - more)).withColumn("_bucket", F.explode(F.sequence(F.col("_from"), bucket(day("last_day") + more))))
+    left, right = spread(periods, 0).alias("a"), spread(periods, most_gap).alias("b")
     gap = gap_days(F.col("a.first_day"), F.col("a.last_day"), F.col("b.first_day"), F.col("b.last_day"))
     differ = (F.col("a.first_day") != F.col("b.first_day")) | (F.col("a.last_day") != F.col("b.last_day"))
     joined = left.join(right, (F.col("a.name_key") == F.col("b.name_key")) & (F.col("a._bucket") == F.col("b._bucket")) & (F.col("a.event_id") < F.col("b.event_id")))
-    return joined.filter(differ & (gap <= most_gap)).select(F.col("a.event_id").alias("a_id"), F.col("b.event_id").alias("b_id"), gap.cast("long").alias("gap"))
+    first_shared = F.col("a._bucket") == F.greatest("a._from", "b._from")
+    return joined.filter(first_shared & differ & (gap <= most_gap)).select(F.col("a.event_id").alias("a_id"), F.col("b.event_id").alias("b_id"), gap.cast("long").alias("gap"))
 
 
 def greedy_clique(edges: DataFrame, group: str) -> DataFrame:

@@ -92,16 +92,33 @@ def hotspots(rows: DataFrame, first: str, second: str, weight: Column, top: int)
     return named.orderBy(F.desc("score"), "grouping", "name").limit(top)
 
 
-def weighted_verdict(before: DataFrame, after: DataFrame, weights: Mapping[str, float], epsilon: float = 0.01, band: float = 0.25) -> DataFrame:
-    """key, gain, loss, verdict of metrics (key, metric, value) of two phases; changes up to ``epsilon`` are nothing."""
-    weight = F.lit(1.0)
+def weighted_verdict(before: DataFrame, after: DataFrame, weights: Mapping[str, float], lower_is_better: Sequence[str] = (), epsilon: float = 0.01, band: float = 0.25) -> DataFrame:
+    """key, comparable, score, verdict of metrics (key, metric, value) of two phases.
+
+    Each metric that moved by ``epsilon`` or more counts for or against with
+    its weight (1 if none is given); the score is what speaks for less what
+    speaks against, over both.  Fewer than two comparable metrics, or none that
+    moved, tell nothing; and no improvement is claimed where the metric of the
+    highest weight got worse.
+    """
+    weight, primary = F.lit(1.0), max(weights, key=weights.get)
     for name, w in weights.items():
         weight = F.when(F.col("metric") == name, w).otherwise(weight)
-    both = before.withColumnRenamed("value", "old").join(after.withColumnRenamed("value", "new"), ["key", "metric"])
-    change = both.withColumn("delta", F.col("new") - F.col("old")).withColumn("w", weight).filter(F.abs("delta") > epsilon)
-    sums = change.groupBy("key").agg(F.round(F.sum(F.when(F.col("delta") > 0, F.col("delta") * F.col("w")).otherwise(0.0)), 6).alias("gain"), F.round(F.sum(F.when(F.col("delta") < 0, -F.col("delta") * F.col("w")).otherwise(0.0)), 6).alias("loss"))
-    net = F.col("gain") - F.col("loss")
-    return sums.withColumn("verdict", F.when(net > band, "IMPROVED").when(net < -band, "WORSENED").otherwise("NEUTRAL"))
+    both = before.withColumnRenamed("value", "old").join(after.withColumnRenamed("value", "new"), ["key", "metric"]).filter("old is not null and new is not null")
+    change = both.withColumn("delta", F.round(F.col("new") - F.col("old"), 4)).withColumn("impact", F.abs("delta") * weight)
+    moved = F.abs("delta") >= epsilon
+    better = moved & (F.when(F.col("metric").isin(*lower_is_better), -F.col("delta")).otherwise(F.col("delta")) > 0)
+    total = lambda flag: F.sum(F.when(flag, F.col("impact")).otherwise(0.0))
+    sums = change.groupBy("key").agg(F.count("*").alias("comparable"), F.count_if(moved).alias("moved"), total(better).alias("gain"), total(moved & ~better).alias("loss"), F.bool_or(moved & ~better & (F.col("metric") == primary)).alias("primary_worse"))
+    score = F.when(F.col("gain") + F.col("loss") > 0, F.round((F.col("gain") - F.col("loss")) / (F.col("gain") + F.col("loss")), 4)).otherwise(0.0)
+    verdict = (
+        F.when((F.col("comparable") < 2) | (F.col("moved") == 0), "INCONCLUSIVE")
+        .when((F.col("score") >= band) & F.col("primary_worse"), "INCONCLUSIVE")
+        .when(F.col("score") >= band, "IMPROVED")
+        .when(F.col("score") <= -band, "REGRESSED")
+        .otherwise("INCONCLUSIVE")
+    )
+    return sums.withColumn("score", score).select("key", "comparable", "score", verdict.alias("verdict"))
 
 
 def violations(rows: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

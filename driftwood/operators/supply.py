@@ -64,11 +64,4 @@ def revision_digest(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     joins the whole table into one string.
     """
     each = F.conv(F.left(F.md5(F.concat_ws("\x1f", key, *columns)), F.lit(12)), 16, 10).cast("long")
-    return rows.agg(F.count("*").alias("n"), F.sum(each).alias("digest"))
-
-
-def seeded_clusters(texts: DataFrame, width: int) -> DataFrame:
-    """text, seed: texts of one prefix belong to the first of them; a blocking that needs no pairs."""
-    block = F.left("text", F.lit(width))
-    seeds = texts.groupBy(block.alias("_block")).agg(F.min("text").alias("seed"))
-    return texts.withColumn("_block", block).join(seeds, "_block").select("text", "seed")
+    return rows.agg(F.count("*").alias("n"), F.sum(each.cast("decimal(38,0)")).cast("string").alias("digest"))

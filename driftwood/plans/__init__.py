@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def registered() -> dict:
     """name -> (function, SQL or None) of every query here."""
-    from . import announcing, governing, operations, registry, reporting, resolving, searching, streams, texts  # noqa: F401
+    from . import announcing, contents, governing, guarding, normalized, operations, pairing, registry, reporting, resolving, searching, streams, summing, texts, validating  # noqa: F401
 
     return dict(registry.REGISTERED)

@@ -75,15 +75,9 @@ def _dotted(day):
     return F.concat_ws(".", F.year(day).cast("string"), F.month(day).cast("string"), F.dayofmonth(day).cast("string"))
 
 
-@query("""WITH p AS (SELECT o_orderkey AS post_id, CAST(o_orderdate AS DATE) + 7305 AS a, CAST(o_orderdate AS DATE) + 7305 + CAST(o_orderkey % 9 AS INTEGER) AS b FROM orders WHERE o_orderkey % 10 = 0)
-SELECT post_id, a AS first_day, b AS last_day, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS night FROM p WHERE b > a""")
-def festival_nights(spark, sf_dir):
-    return _festival_nights(table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0"))
-
-
 @query("""WITH p AS (SELECT o_orderkey AS post_id, CAST(o_orderdate AS DATE) + 7305 AS a, CAST(o_orderdate AS DATE) + 7305 + CAST(o_orderkey % 9 AS INTEGER) AS b FROM orders)
 SELECT post_id, a AS first_day, b AS last_day, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS night FROM p WHERE b > a""")
-def festival_nights_whole(spark, sf_dir):
+def festival_nights(spark, sf_dir):
     return _festival_nights(table(spark, sf_dir, "orders"))
 
 
@@ -95,13 +89,8 @@ def _festival_nights(orders):
     return announcements.festivals(posts_)
 
 
-@query("""SELECT l_orderkey AS post_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, p_name) - 1 AS BIGINT) AS nth, p_name AS name, CAST((12 + l_linenumber) * 60 AS BIGINT) AS start_min, CAST((12 + l_linenumber) * 60 + 90 AS BIGINT) AS end_min FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 10 = 0""")
-def programme_lines(spark, sf_dir):
-    return _programme_lines(table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0"), table(spark, sf_dir, "part"))
-
-
 @query("""SELECT l_orderkey AS post_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, p_name) - 1 AS BIGINT) AS nth, p_name AS name, CAST((12 + l_linenumber) * 60 AS BIGINT) AS start_min, CAST((12 + l_linenumber) * 60 + 90 AS BIGINT) AS end_min FROM lineitem JOIN part ON p_partkey = l_partkey""")
-def programme_lines_whole(spark, sf_dir):
+def programme_lines(spark, sf_dir):
     return _programme_lines(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
 
 
@@ -124,13 +113,8 @@ def weekly_days(spark, sf_dir):
     return announcements.weekly(posts_).withColumns({c: F.col(c).cast("long") for c in ("start_min", "end_min")})
 
 
-@query(f"WITH {_CANDIDATES} SELECT post_id, event_date, CASE WHEN post_id % 2 = 0 THEN start_min ELSE 1140 END AS start_min, COALESCE(fee, 9000) AS fee, concat_ws(',', CASE WHEN post_id % 2 = 1 THEN 'start_min' END, CASE WHEN fee IS NULL THEN 'fee' END) AS filled FROM c WHERE post_id % 20 < 2")
-def image_fallback(spark, sf_dir):
-    return _image_fallback(posts(spark, sf_dir).filter("post_id % 20 < 2"))
-
-
 @query(f"WITH {_CANDIDATES} SELECT post_id, event_date, CASE WHEN post_id % 2 = 0 THEN start_min ELSE 1140 END AS start_min, COALESCE(fee, 9000) AS fee, concat_ws(',', CASE WHEN post_id % 2 = 1 THEN 'start_min' END, CASE WHEN fee IS NULL THEN 'fee' END) AS filled FROM c")
-def image_fallback_whole(spark, sf_dir):
+def image_fallback(spark, sf_dir):
     return _image_fallback(posts(spark, sf_dir))
 
 
@@ -138,3 +122,21 @@ def _image_fallback(told):
     found = announcements.candidates(told).withColumn("start_min", F.when(F.col("post_id") % 2 == 0, F.col("start_min")))
     ocr = told.select("post_id", F.lit("PM 7:00~9:00\n입장료 9,000원").alias("ocr_text"), "published")
     return announcements.filled_from_images(found, ocr).select("post_id", "event_date", F.col("start_min").cast("long").alias("start_min"), "fee", "filled")
+
+
+_TOLD = """t AS (SELECT o_orderkey AS post_id, o_orderkey % 6 IN (0, 5) AS titled, o_orderkey % 4 AS line, o_orderkey % 5 IN (0, 1) AS priced, o_orderkey % 7 IN (0, 1) AS taught, o_orderkey % 3 = 0 AS enrol, o_orderkey % 11 = 0 AS recap, o_orderkey % 8 > 0 AS dated FROM orders)"""
+
+
+@query(f"""WITH {_TOLD} SELECT post_id, titled OR line = 1 AS social, dated AND line = 2 AND priced AS party, taught AND enrol AS course, titled AND dated AND line IN (1, 2) AS night, recap FROM t""")
+def evidence_bundles(spark, sf_dir):
+    k = F.col("o_orderkey")
+    title = F.concat(F.when(k % 6 == 0, "Friday party").when(k % 6 == 5, "금요 소셜").otherwise("News of the house"), F.when(k % 11 == 0, " 후기").otherwise(""))
+    lines = (
+        F.when(k % 8 > 0, F.concat_ws(".", F.year("o_orderdate").cast("string"), F.month("o_orderdate").cast("string"), F.dayofmonth("o_orderdate").cast("string"))).otherwise("soon"),
+        F.when(k % 4 == 1, "social dance PM 8:00~11:00").when(k % 4 == 2, "doors PM 7:30~12:00").when(k % 4 == 3, "a social that states no clock").otherwise("nothing more"),
+        F.when(k % 5 <= 1, "입장료 12,000원").otherwise("bring friends"),
+        F.when(k % 7 <= 1, "lesson for beginners").otherwise("music by the house"),
+        F.when(k % 3 == 0, "register at the desk").otherwise("see you"),
+    )
+    told = table(spark, sf_dir, "orders").select(k.alias("post_id"), announcements.evidence(title, F.concat_ws("\n", *lines), F.date_add(F.to_date("o_orderdate"), -3)).alias("e"))
+    return told.select("post_id", "e.*")

@@ -155,13 +155,15 @@ def correction_hotspots(spark, sf_dir):
     return metrics.hotspots(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", F.col("l_quantity"), 10)
 
 
-@query("""WITH m AS (SELECT user_id AS key, event_type AS metric, CAST(ts AS DATE) < DATE '2024-01-16' AS old, avg(value) AS value FROM events GROUP BY 1, 2, 3), d AS (SELECT a.key, (b.value - a.value) AS delta, CASE a.metric WHEN 'purchase' THEN 2.0 WHEN 'error' THEN 0.5 ELSE 1.0 END AS w FROM m a JOIN m b ON a.key = b.key AND a.metric = b.metric AND a.old AND NOT b.old),
-s AS (SELECT key, round(sum(CASE WHEN delta > 0 THEN delta * w ELSE 0.0 END), 6) AS gain, round(sum(CASE WHEN delta < 0 THEN -delta * w ELSE 0.0 END), 6) AS loss FROM d WHERE abs(delta) > 0.01 GROUP BY key)
-SELECT key, gain, loss, CASE WHEN gain - loss > 0.25 THEN 'IMPROVED' WHEN gain - loss < -0.25 THEN 'WORSENED' ELSE 'NEUTRAL' END AS verdict FROM s""")
+@query("""WITH m AS (SELECT user_id AS key, event_type AS metric, CAST(ts AS DATE) < DATE '2024-01-16' AS old, avg(value) AS value FROM events GROUP BY 1, 2, 3), d AS (SELECT a.key, a.metric, round(b.value - a.value, 4) AS delta FROM m a JOIN m b ON a.key = b.key AND a.metric = b.metric AND a.old AND NOT b.old),
+e AS (SELECT *, abs(delta) >= 0.01 AS moved, (CASE WHEN metric = 'error' THEN -delta ELSE delta END) > 0 AS better, abs(delta) * CASE metric WHEN 'purchase' THEN 2.0 WHEN 'error' THEN 0.5 ELSE 1.0 END AS impact FROM d),
+s AS (SELECT key, count(*) AS comparable, COALESCE(sum(impact) FILTER (WHERE moved AND better), 0) AS gain, COALESCE(sum(impact) FILTER (WHERE moved AND NOT better), 0) AS loss, count(*) FILTER (WHERE moved) AS moved, count(*) FILTER (WHERE moved AND NOT better AND metric = 'purchase') > 0 AS veto FROM e GROUP BY key),
+r AS (SELECT *, CASE WHEN gain + loss > 0 THEN round((gain - loss) / (gain + loss), 4) ELSE 0.0 END AS score FROM s)
+SELECT key, CAST(comparable AS BIGINT) AS comparable, score, CASE WHEN comparable < 2 OR moved = 0 THEN 'INCONCLUSIVE' WHEN score >= 0.25 THEN CASE WHEN veto THEN 'INCONCLUSIVE' ELSE 'IMPROVED' END WHEN score <= -0.25 THEN 'REGRESSED' ELSE 'INCONCLUSIVE' END AS verdict FROM r""")
 def change_verdict(spark, sf_dir):
     phased = table(spark, sf_dir, "events").withColumn("old", F.to_date("ts") < F.lit("2024-01-16").cast("date"))
     means = phased.groupBy(F.col("user_id").alias("key"), F.col("event_type").alias("metric"), "old").agg(F.avg("value").alias("value"))
-    return metrics.weighted_verdict(means.filter("old").drop("old"), means.filter("not old").drop("old"), {"purchase": 2.0, "error": 0.5})
+    return metrics.weighted_verdict(means.filter("old").drop("old"), means.filter("not old").drop("old"), {"purchase": 2.0, "error": 0.5}, ["error"])
 
 
 _RULES = {"price_positive": "o_totalprice > 0", "status_known": "o_orderstatus IN ('O', 'F', 'P')", "dated": "o_orderdate IS NOT NULL", "cheap": "o_totalprice < 300000"}

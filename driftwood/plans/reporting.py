@@ -45,15 +45,9 @@ def relevance_union(spark, sf_dir):
     return supply.least_of_union(parts, "c_custkey", "nearest")
 
 
-@query("""WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day), t AS (SELECT DISTINCT event_type FROM events), c AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE user_id % 5 = 0 GROUP BY 1, 2)
-SELECT t.event_type, d.day, CAST(COALESCE(n, 0) AS BIGINT) AS n FROM d CROSS JOIN t LEFT JOIN c ON c.event_type = t.event_type AND c.day = d.day""")
-def usage_daily(spark, sf_dir):
-    return _usage_daily(spark, sf_dir, table(spark, sf_dir, "events").filter("user_id % 5 = 0"))
-
-
 @query("""WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day), t AS (SELECT DISTINCT event_type FROM events), c AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT t.event_type, d.day, CAST(COALESCE(n, 0) AS BIGINT) AS n FROM d CROSS JOIN t LEFT JOIN c ON c.event_type = t.event_type AND c.day = d.day""")
-def usage_daily_whole(spark, sf_dir):
+def usage_daily(spark, sf_dir):
     return _usage_daily(spark, sf_dir, table(spark, sf_dir, "events"))
 
 
@@ -72,7 +66,7 @@ def master_usage(spark, sf_dir):
     return table(spark, sf_dir, "nation").join(a, "n_nationkey", "left").join(b, "n_nationkey", "left").fillna(0, ["customers", "orders", "suppliers"]).select("n_name", "customers", "suppliers", "orders")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST('0x' || left(md5(concat_ws(chr(31), CAST(c_custkey AS VARCHAR), c_name, c_mktsegment)), 12) AS BIGINT)) AS BIGINT) AS digest FROM customer")
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST('0x' || left(md5(concat_ws(chr(31), CAST(c_custkey AS VARCHAR), c_name, c_mktsegment)), 12) AS BIGINT)) AS VARCHAR) AS digest FROM customer")
 def master_digest(spark, sf_dir):
     return supply.revision_digest(table(spark, sf_dir, "customer"), "c_custkey", "c_name", "c_mktsegment")
 
@@ -97,13 +91,17 @@ def half_day_pairs(spark, sf_dir):
     return pairs.filter(labels.half_day_apart(F.col("a.m"), F.col("b.m"))).groupBy("a.l_orderkey").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'error' AND event_id % 6 IN (0, 1) THEN 'AUTH' WHEN event_id % 6 = 2 THEN 'RATE_LIMITED' WHEN event_id % 6 = 3 THEN 'TIMEOUT' WHEN event_id % 6 = 4 THEN 'SERVER' ELSE 'UNKNOWN' END AS kind FROM events""")
+_ANSWERS = (("NAVER_ID is not set", 401), ("unauthorised", 401), ("no access", 403), ("slow down", 429), ("bad gateway", 502), ("Network error: reset", None), ("read Timed Out", None), ("Expecting value: JSON line 1", 200), ("gone", 404), (None, 500), (None, None))
+_ANSWERS_SQL = "r(k, message, status) AS (VALUES " + ", ".join(f"({k}, {m!r}, {s})".replace("None", "NULL") for k, (m, s) in enumerate(_ANSWERS)) + ")"
+
+
+@query(f"""WITH {_ANSWERS_SQL}, k AS (SELECT k, CASE WHEN lower(message) LIKE '%not set%' THEN 'CREDENTIALS_MISSING' WHEN status = 401 THEN 'AUTH_FAILED' WHEN status = 403 THEN 'ACCESS_DENIED' WHEN status = 429 THEN 'RATE_LIMITED' WHEN status // 100 = 5 OR lower(message) LIKE '%network error%' OR lower(message) LIKE '%timed out%' OR lower(message) LIKE '%timeout%' THEN 'NETWORK' WHEN lower(message) LIKE '%json%' THEN 'BAD_RESPONSE' ELSE 'UNKNOWN' END AS kind FROM r)
+SELECT event_id, kind, kind IN ('NETWORK', 'RATE_LIMITED') AS retryable FROM events JOIN k ON k.k = (event_id * 7 + user_id) % {len(_ANSWERS)}""")
 def error_kinds(spark, sf_dir):
-    k = F.col("event_id") % 6
-    failed = F.col("event_type") == "error"
-    status = F.when(failed & (k == 0), 403).when(k == 2, 429).when(k == 4, 503)
-    message = F.when(failed & (k == 1), "Login required").when(k == 3, "request timed out")
-    return table(spark, sf_dir, "events").select("event_id", labels.error_kind(status, message).alias("kind"))
+    k = ((F.col("event_id") * 7 + F.col("user_id")) % len(_ANSWERS)).cast("int")
+    said = F.array(*[F.struct(F.lit(m).cast("string").alias("message"), F.lit(s).cast("int").alias("status")) for m, s in _ANSWERS])
+    rows = table(spark, sf_dir, "events").select("event_id", F.get(said, k).alias("r"))
+    return rows.select("event_id", labels.error_kind(F.col("r.status"), F.col("r.message")).alias("e")).select("event_id", "e.kind", "e.retryable")
 
 
 @query("SELECT page_id, 'host:' || regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/:?#]+)', 1)), '^www\\.', '') AS identity FROM pages")
@@ -111,18 +109,23 @@ def community_identities(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", labels.community_identity(F.col("url")).alias("identity"))
 
 
-@query("SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name || ' ' || p_type), 'logo|icon|favicon|profile') THEN 'LOGO' WHEN regexp_matches(lower(p_name || ' ' || p_type), 'map|venue|interior') THEN 'VENUE' WHEN regexp_matches(lower(p_name || ' ' || p_type), 'poster|flyer|milonga|party|workshop') THEN 'POSTER' ELSE 'UNKNOWN' END AS kind FROM part")
-def media_kinds(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", labels.media_kind(F.col("p_name"), F.col("p_type")).getField("kind").alias("kind"))
+_IMAGES_SQL = """SELECT p_partkey, lower(concat('https://img.example/', CASE p_size % 5 WHEN 0 THEN 'site-Logo.png' WHEN 1 THEN 'milonga-poster.jpg' WHEN 2 THEN 'hall.jpg' WHEN 3 THEN 'profile.png' ELSE 'x.png' END)) AS url,
+lower(concat(p_name, CASE WHEN p_partkey % 7 = 0 THEN ' party schedule' WHEN p_partkey % 7 = 1 THEN ' Our LOGO here' WHEN p_partkey % 7 = 2 THEN ' the logotype' ELSE '' END)) AS beside, CASE WHEN p_size > 10 THEN p_size * 20 END AS w, p_size * 20 + p_partkey % 60 AS h FROM part"""
 
 
-@query("SELECT p_name AS text, min(p_name) OVER (PARTITION BY left(p_name, 4)) AS seed FROM (SELECT DISTINCT p_name FROM part)")
-def unresolved_clusters(spark, sf_dir):
-    return supply.seeded_clusters(table(spark, sf_dir, "part").select(F.col("p_name").alias("text")).distinct(), 4)
+@query(f"""WITH i AS ({_IMAGES_SQL}), f AS (SELECT *, regexp_matches(url || ' ' || beside, 'poster|flyer|schedule|milonga|party|festival|workshop|포스터|일정') AS event, regexp_matches(url || ' ' || beside, 'venue|interior|hall|studio|map|공간|내부') AS venue FROM i),
+k AS (SELECT *, CASE WHEN url LIKE '%logo%' OR regexp_matches(beside, '\\blogo\\b') THEN 1 WHEN event AND COALESCE(w <= 256 AND h <= 256 AND abs(w - h) <= 32, FALSE) THEN 2 WHEN event THEN 3 WHEN venue THEN 4 WHEN regexp_matches(url, 'icon|brand|profile|favicon') AND COALESCE(w <= 512 AND h <= 512, FALSE) THEN 5 ELSE 6 END AS rule FROM f)
+SELECT p_partkey, CASE rule WHEN 1 THEN 'LOGO' WHEN 3 THEN 'EVENT_POSTER' WHEN 4 THEN 'VENUE_IMAGE' WHEN 5 THEN 'LOGO' ELSE 'UNKNOWN' END AS kind, CAST(CASE rule WHEN 1 THEN 0.98 WHEN 2 THEN 0.45 WHEN 3 THEN 0.85 WHEN 4 THEN 0.75 WHEN 5 THEN 0.7 ELSE 0.2 END AS DOUBLE) AS score FROM k""")
+def media_kinds(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    url = F.concat(F.lit("https://img.example/"), F.when(size % 5 == 0, "site-Logo.png").when(size % 5 == 1, "milonga-poster.jpg").when(size % 5 == 2, "hall.jpg").when(size % 5 == 3, "profile.png").otherwise("x.png"))
+    beside = F.concat("p_name", F.when(k % 7 == 0, " party schedule").when(k % 7 == 1, " Our LOGO here").when(k % 7 == 2, " the logotype").otherwise(""))
+    found = labels.media_kind(url, beside, F.when(size > 10, size * 20), size * 20 + k % 60)
+    return table(spark, sf_dir, "part").select("p_partkey", found.alias("m")).select("p_partkey", "m.kind", "m.score")
 
 
 @query(None)
-def unresolved_clusters_whole(spark, sf_dir):
+def unresolved_clusters(spark, sf_dir):
     texts = table(spark, sf_dir, "part").select(F.col("p_name").alias("text")).distinct()
     places = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("alias"))
     return resolution.clustered(texts, places, folded_key, similarity)

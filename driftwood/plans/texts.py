@@ -34,12 +34,13 @@ def canonical_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.col("url")).alias("canonical"), text.host(F.col("url")).alias("host"))
 
 
-@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '01[016789][-. ]?[0-9]{3,4}[-. ]?[0-9]{4}', '[PHONE]', 'g'), '[0-9]{10,16}', '[ACCOUNT]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', '[EMAIL]', 'g')) AS clean_md5 FROM documents""")
+@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '0[0-9]{1,2}[-\\s.]?[0-9]{3,4}[-\\s.]?[0-9]{4}', '[PHONE]', 'g'), '\\b[0-9]{10,16}\\b', '[ACCOUNT]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', '[EMAIL]', 'g')) AS clean_md5 FROM documents""")
 def redacted_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.redacted(F.col("text"))).alias("clean_md5"))
 
 
-@query(None)
+@query("""SELECT doc_id, CAST(len(regexp_extract_all(text, '0[0-9]{1,2}[-\\s.]?[0-9]{3,4}[-\\s.]?[0-9]{4}')) + len(regexp_extract_all(p, '\\b[0-9]{10,16}\\b')) + len(regexp_extract_all(a, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}')) AS BIGINT) AS n
+FROM (SELECT *, regexp_replace(p, '\\b[0-9]{10,16}\\b', '[ACCOUNT]', 'g') AS a FROM (SELECT *, regexp_replace(text, '0[0-9]{1,2}[-\\s.]?[0-9]{3,4}[-\\s.]?[0-9]{4}', '[PHONE]', 'g') AS p FROM documents))""")
 def redaction_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.redactions(F.col("text")).cast("long").alias("n"))
 

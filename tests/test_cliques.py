@@ -45,4 +45,4 @@ def test_cliques_are_of_whole_orders(spark):
     for r in registered()["independent_cliques"][0](spark, SF).collect():
         found.setdefault(r["g"], []).append(r["member"])
     assert {g: sorted(m) for g, m in found.items()} == {g: largest(es) for g, es in groups.items()}
-    assert {r["g"]: r["members"] for r in registered()["clique_members_whole"][0](spark, SF).collect()} == {g: len(m) for g, m in found.items()}
+    assert {r["g"]: r["members"] for r in registered()["clique_members"][0](spark, SF).collect()} == {g: len(m) for g, m in found.items()}

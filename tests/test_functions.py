@@ -97,6 +97,7 @@ def test_text_functions(spark):
     assert one(spark, text.canonical_url(F.col("t")), t="HTTP://Ex.COM/a/b/?x=1#y") == "http://ex.com/a/b"
     assert one(spark, text.canonical_url(F.col("t")), t="ftp://x") is None
     assert one(spark, text.redacted(F.col("t")), t="call 010-1234-5678, 123456789012 or a.b@c.org") == "call [PHONE], [ACCOUNT] or [EMAIL]"
+    assert one(spark, text.redacted(F.col("t")), t="desk 02-123-4567, no x1234567890123456 y") == "desk [PHONE], no x1234567890123456 y"
     assert one(spark, text.redactions(F.col("t")), t="call 010-1234-5678, 123456789012 or a.b@c.org") == 3
     assert one(spark, text.csv_safe(F.col("t")), t="=1+1") == "'=1+1"
     assert one(spark, text.map_url("https://m/?q=", F.col("t")), t="a b") == "https://m/?q=a%20b"

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from driftwood.operators import announcements, duplicates, graphs, incremental, metrics, resolution, search, streaks
+from driftwood.operators import announcements, duplicates, graphs, incremental, metrics, resolution, search, streaks, supply
 from driftwood.functions.text import folded_key, similarity
 from driftwood.sources import pages
 
@@ -189,3 +189,21 @@ def test_images_fill_only_what_is_missing(spark):
     rows = {r["post_id"]: r for r in announcements.filled_from_images(found, ocr).collect()}
     assert (rows[1]["event_date"], rows[1]["start_min"], rows[1]["fee"], rows[1]["venue"]) == (D(2026, 9, 18), 1200, 10000, "Hall")
     assert rows[1]["filled"] == "start_min,fee,venue" and rows[1]["conflicts"] == "event_date" and rows[2]["filled"] == ""
+
+
+def test_long_periods_meet_short_ones_inside_them(spark):
+    day = D.fromisoformat
+    rows = [(1, "n", day("2024-01-01"), day("2024-06-30")), (2, "n", day("2024-06-01"), day("2024-06-03")), (3, "n", day("2024-09-30"), day("2024-09-30")), (4, "other", day("2024-06-01"), day("2024-06-03"))]
+    found = duplicates.period_conflicts(spark.createDataFrame(rows, "event_id long, name_key string, first_day date, last_day date"), 20)
+    assert [tuple(r) for r in found.collect()] == [(1, 2, 0)]
+
+
+def test_lineage_reaches_the_last_ancestor_and_ends_on_cycles(spark):
+    links = spark.createDataFrame([(k, k - 1) for k in range(1, 12)] + [(0, None), (50, 51), (51, 52), (52, 50)], "node long, parent long")
+    found = {(r["node"], r["ancestor"]): r["depth"] for r in graphs.lineage(links).collect()}
+    assert {k: v for k, v in found.items() if k[0] < 50} == {(a, b): a - b for a in range(12) for b in range(a)}
+    assert {k: v for k, v in found.items() if k[0] >= 50} == {(50, 51): 1, (51, 52): 1, (52, 50): 1, (50, 52): 2, (51, 50): 2, (52, 51): 2}
+
+
+def test_digests_of_many_rows_do_not_overflow(spark):
+    assert supply.revision_digest(spark.range(200_000), "id").first()["n"] == 200_000

@@ -17,20 +17,20 @@ def table(spark, name):
 
 def test_usage_counts_every_event(spark):
     january = table(spark, "events").filter("to_date(ts) between '2024-01-01' and '2024-01-31'")
-    assert run(spark, "usage_daily_whole").agg(F.sum("n")).first()[0] == january.count() > 0
+    assert run(spark, "usage_daily").agg(F.sum("n")).first()[0] == january.count() > 0
 
 
 def test_every_festival_and_programme_is_read(spark):
-    nights = run(spark, "festival_nights_whole").select("post_id").distinct().count()
+    nights = run(spark, "festival_nights").select("post_id").distinct().count()
     assert nights == table(spark, "orders").filter("o_orderkey % 9 > 0").count()
-    assert run(spark, "programme_lines_whole").count() == table(spark, "lineitem").count()
+    assert run(spark, "programme_lines").count() == table(spark, "lineitem").count()
 
 
 def test_images_fill_candidates_of_every_post(spark):
-    found = {r["post_id"] % 20 for r in run(spark, "image_fallback_whole").select("post_id").distinct().collect()}
+    found = {r["post_id"] % 20 for r in run(spark, "image_fallback").select("post_id").distinct().collect()}
     assert found == set(range(20))
 
 
 def test_every_asked_event_is_looked_up(spark):
     asked = table(spark, "lineitem").filter("l_returnflag = 'A'").select("l_orderkey").distinct().count()
-    assert run(spark, "lookup_with_redirect_whole").count() == asked
+    assert run(spark, "lookup_with_redirect").count() == asked
