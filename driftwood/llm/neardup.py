@@ -170,8 +170,9 @@ def _components(sketch: DataFrame, texts: DataFrame, percent: int, size: int, by
 
     candidates = stored(members.groupBy("cls").agg(F.sum("members").alias("weight")), "candidates")
     wanted = stored(candidates.join(classes.drop("keys"), "cls").select("cls", "id", "set_a", "set_b", "n"), "wanted")
-    # an id may stand over other texts too: a set is known by its key
-    sets = texts.join(wanted.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(size), "n long, set_a long, set_b long, shingles array<long>, parity array<long>")
+    # an id may stand over other texts too: a set is known by its key; ids alone keep the side that meets the texts small
+    ids = stored(wanted.select("id"), "ids")
+    sets = texts.join(ids, "id", "left_semi").mapInArrow(_sets(size), "n long, set_a long, set_b long, shingles array<long>, parity array<long>")
     sets = stored(sets.dropDuplicates(["set_a", "set_b", "n"]).join(wanted.drop("id"), ["set_a", "set_b", "n"]).select("cls", "shingles", "parity"), "sets")
     only = sets.select("cls", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("holders"), F.min("cls").alias("cls")).filter("holders = 1")
     alone = only.groupBy("cls").agg(F.count("*").alias("alone"))
