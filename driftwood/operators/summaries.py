@@ -48,7 +48,7 @@ def evidence_clusters(evidence: DataFrame, key: str, day: str) -> DataFrame:
 def review_metrics(reviews: DataFrame, by: Sequence[str], today: Column) -> DataFrame:
     """For each of ``by``: all, today, and the mean hours from being queued to being decided (at, queued_at)."""
     hours = (F.unix_seconds(F.col("at").cast("timestamp")) - F.unix_seconds(F.col("queued_at").cast("timestamp"))) / 3600.0
-    return reviews.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.to_date("at") == today).alias("today"), F.round(F.avg(hours), 2).alias("mean_hours"))
+    return reviews.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.to_date("at") == today).alias("today"), F.round(F.avg(hours), 6).alias("mean_hours"))
 
 
 def backlog(hotspots: DataFrame, most: int) -> DataFrame:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import guards
 from .registry import query, table
 
-_NEWEST = (F.desc("ts"), F.desc("event_id"))
+def _newest():
+    return F.desc("ts"), F.desc("event_id")
+
+
 _OUTCOMES = "o AS (SELECT user_id, event_id, ts, value > 100 AS predicted, event_type IN ('purchase', 'click') AS actual, value > 190 AND event_type = 'error' AS regression, value > 290 AS critical FROM events)"
 _LAST = "l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM o), d AS (SELECT l.*, size FROM l JOIN (SELECT unnest([{sizes}]) AS size) ON nth <= size)"
 
@@ -23,7 +26,7 @@ p AS (SELECT *, round(CASE WHEN tp + fn > 0 THEN fn / (tp + fn) ELSE 0.0 END, 4)
 SELECT user_id, CAST(size AS INTEGER) AS size, CAST(observed AS BIGINT) AS observed, miss AS miss_rate, wrong AS false_positive_rate, CAST(r AS BIGINT) AS regressions,
 CASE WHEN c > 0 THEN 'ROLLBACK' WHEN observed < size THEN 'WARMING' WHEN size = 5 AND (r >= 2 OR miss >= 0.2 OR wrong >= 0.4) THEN 'ROLLBACK' WHEN size = 5 AND (r = 1 OR wrong >= 0.2) THEN 'WATCH' WHEN size = 10 AND (r >= 2 OR miss >= 0.1 OR wrong >= 0.25) THEN 'ROLLBACK' WHEN size = 20 AND (r >= 3 OR miss >= 0.1 OR wrong >= 0.2) THEN 'ROLLBACK' ELSE 'HEALTHY' END AS status FROM p""")
 def runtime_guard(spark, sf_dir):
-    return guards.runtime_guard(_outcomes(spark, sf_dir), "user_id", _NEWEST)
+    return guards.runtime_guard(_outcomes(spark, sf_dir), "user_id", _newest())
 
 
 @query("""WITH o AS (SELECT user_id, event_id, ts, value > 150 AND event_type = 'error' AS regression, value > 250 AS critical, value > 320 AND event_type = 'view' AS bad, value > 340 AND event_type = 'click' AS missed, (value - 100) / 1000 AS coverage FROM events), """ + _LAST.format(sizes="5, 10, 20") + """,
@@ -32,7 +35,7 @@ SELECT user_id, CAST(size AS INTEGER) AS size, CAST(observed AS BIGINT) AS obser
 def reintegration_guard(spark, sf_dir):
     kind, value = F.col("event_type"), F.col("value")
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", ((value > 150) & (kind == "error")).alias("regression"), (value > 250).alias("critical"), ((value > 320) & (kind == "view")).alias("false_corroboration"), ((value > 340) & (kind == "click")).alias("missed"), ((value - 100) / 1000).alias("coverage_change"))
-    return guards.reintegration_guard(rows, "user_id", _NEWEST)
+    return guards.reintegration_guard(rows, "user_id", _newest())
 
 
 @query("""WITH o AS (SELECT user_id, event_id, ts, event_type <> 'signup' AS agree, value > 250 AND event_type = 'error' AS unsafe FROM events), """ + _LAST.format(sizes="7, 14, 30") + """,
@@ -44,7 +47,7 @@ def rolling_stability(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     rows = e.select("user_id", "event_id", "ts", (F.col("event_type") != "signup").alias("agree"), ((F.col("value") > 250) & (F.col("event_type") == "error")).alias("unsafe"))
     before = e.select("user_id").distinct().withColumn("status", F.when(F.col("user_id") % 2 == 0, "ELIGIBLE").otherwise("OBSERVING"))
-    return guards.rolling_stability(rows, "user_id", _NEWEST, before)
+    return guards.rolling_stability(rows, "user_id", _newest(), before)
 
 
 @query("""WITH c AS (SELECT s_suppkey, s_nationkey % 3 AS scope_type, s_suppkey % 10 AS source_id, s_nationkey AS platform, s_nationkey % 5 AS rule_key, CASE WHEN s_acctbal > 0 THEN 1 ELSE 0 END AS cause, s_suppkey % 2 AS route FROM supplier),

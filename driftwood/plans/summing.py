@@ -48,7 +48,7 @@ def evidence_clusters(spark, sf_dir):
     return summaries.evidence_clusters(rows, "user_id", "day")
 
 
-@query("""SELECT event_type AS action, user_id % 5 AS actor, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE CAST(ts AS DATE) = DATE '2024-01-20') AS BIGINT) AS today, round(avg((event_id % 500) / 10.0), 2) AS mean_hours FROM events GROUP BY 1, 2""")
+@query("""SELECT event_type AS action, user_id % 5 AS actor, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE CAST(ts AS DATE) = DATE '2024-01-20') AS BIGINT) AS today, round(avg((event_id % 500) / 10.0), 6) AS mean_hours FROM events GROUP BY 1, 2""")
 def review_metrics(spark, sf_dir):
     at = F.col("ts").cast("timestamp")
     queued = F.timestamp_micros(F.unix_micros(at) - F.col("event_id") % 500 * 360_000_000)

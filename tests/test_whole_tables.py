@@ -34,3 +34,18 @@ def test_images_fill_candidates_of_every_post(spark):
 def test_every_asked_event_is_looked_up(spark):
     asked = table(spark, "lineitem").filter("l_returnflag = 'A'").select("l_orderkey").distinct().count()
     assert run(spark, "lookup_with_redirect").count() == asked
+
+
+def test_components_are_those_of_every_line(spark):
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in table(spark, "lineitem").select("l_partkey", "l_suppkey").distinct().collect():
+        a, b = sorted((find(r["l_partkey"] * 2), find(r["l_suppkey"] * 2 + 1)))
+        root[b] = a
+    assert {r["node"]: r["root"] for r in run(spark, "cross_post_components").collect()} == {x: find(x) for x in list(root)}
