@@ -131,11 +131,11 @@ def unresolved_clusters(spark, sf_dir):
     return resolution.clustered(texts, places, folded_key, similarity)
 
 
-@query("""SELECT p_type AS text, CAST(count(*) AS BIGINT) AS n_all, CAST(count(*) FILTER (WHERE l_returnflag = 'N') AS BIGINT) AS n_live, CAST(max(l_shipdate) AS DATE) AS last_day FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 ORDER BY n_live DESC, n_all DESC, text LIMIT 30""")
+@query("""SELECT p_type AS text, CAST(count(*) AS BIGINT) AS n_all, CAST(count(*) FILTER (WHERE l_returnflag = 'N') AS BIGINT) AS n_live, CAST(max(l_shipdate) AS DATE) AS last_day FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 ORDER BY n_live DESC, n_all DESC, text""")
 def unresolved_queue(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     counted = rows.groupBy(F.col("p_type").alias("text")).agg(F.count("*").alias("n_all"), F.count_if(F.col("l_returnflag") == "N").alias("n_live"), F.to_date(F.max("l_shipdate")).alias("last_day"))
-    return counted.orderBy(F.desc("n_live"), F.desc("n_all"), "text").limit(30)
+    return counted.orderBy(F.desc("n_live"), F.desc("n_all"), "text")
 
 
 @query("SELECT lower(regexp_extract(url, '(?i)^https?://([^/:?#]+)', 1)) AS identity, CAST(count(*) AS BIGINT) AS seen, array_to_string(list_sort(list_distinct(list(split_part(url, '/', 4)))), ',') AS sections, max(page_id) AS last_page FROM pages GROUP BY 1")
