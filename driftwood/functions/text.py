@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,14 +109,17 @@ def csv_safe(value: Column) -> Column:
     return F.when(value.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), value)).otherwise(value)
 
 
-def occurs(term: str, text: Column) -> Column:
-    """Whether a term occurs: a Latin one as a whole word, any other anywhere; case aside."""
-    folded = F.lower(text)
-    if term.isascii():
-        import re
+def occurs_any(terms: Sequence[str], text: Column) -> Column:
+    """Whether one of the terms occurs: a Latin one as a whole word, any other anywhere; case aside."""
+    latin = [re.escape(t.lower()) for t in terms if t.isascii()]
+    forms = [rf"(?<![a-z0-9])(?:{'|'.join(latin)})(?![a-z0-9])"] if latin else []
+    forms += [re.escape(t.lower()) for t in terms if not t.isascii()]
+    return F.lower(text).rlike("|".join(forms)) if forms else F.lit(False)
 
-        return folded.rlike(rf"(?<![a-z0-9]){re.escape(term.lower())}(?![a-z0-9])")
-    return F.contains(folded, F.lit(term.lower()))
+
+def occurs(term: str, text: Column) -> Column:
+    """Whether a term occurs, as in ``occurs_any``."""
+    return occurs_any([term], text)
 
 
 @F.pandas_udf(StringType())

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import extraction
-from ..functions.text import occurs
+from ..functions.text import occurs_any
 
 @dataclass(frozen=True)
 class Vocabulary:
@@ -32,10 +32,8 @@ FIELD_STATES = ("CONFLICT", "VERIFIED", "EXPECTED", "INFERRED", "UNKNOWN")
 
 
 def any_of(words: Sequence[str], text: Column) -> Column:
-    found = F.lit(False)
-    for w in words:
-        found = found | occurs(w, text)
-    return F.coalesce(found, F.lit(False))
+    """Whether any of the words occurs in a text, in one search of it."""
+    return F.coalesce(occurs_any(words, text), F.lit(False))
 
 
 def evidence(title: Column, body: Column, published: Column, words: Vocabulary = VOCABULARY) -> Column:
@@ -84,8 +82,11 @@ def candidates(posts: DataFrame) -> DataFrame:
     ``posts`` has post_id, title, body, published (date), known_kind.  A post
     whose segments resolve to fewer than two days gives one candidate of its
     whole text.  A place that only one segment names is shared by the others.
+    Posts are dealt out by post_id before they are read: the readers are the
+    costly part, and the windows by post then need no other shuffle.
     """
     text = F.concat_ws("\n", "title", "body")
+    posts = posts.repartition("post_id")
     parts = posts.select("post_id", "title", "published", kind(F.col("title"), F.col("body"), F.col("known_kind")).alias("kind"), F.posexplode(extraction.segments(text)).alias("nth", "part"))
     read = parts.select("*", extraction.event_date(F.col("part"), F.col("published")).alias("event_date"), extraction.time_range(F.col("part")).alias("t"), extraction.fee(F.col("part")).alias("f"), extraction.venue(F.col("part")).alias("own_venue"))
     post = Window.partitionBy("post_id")

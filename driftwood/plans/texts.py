@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import duplicates
+from ..operators.graphs import stored
 from ..sources import pages as page_sources
 from .registry import query, table
 
@@ -47,7 +48,8 @@ def redaction_counts(spark, sf_dir):
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(trim(regexp_replace(lower(text), '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')))) AS canonical_id FROM documents")
 def exact_duplicates(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(text.squeezed(F.lower("text"))).alias("h"))
+    # digests are stored, so that the texts are read and squeezed once for both sides of the join
+    docs = stored(table(spark, sf_dir, "documents").select("doc_id", F.md5(text.squeezed(F.lower("text"))).alias("h")), "digests")
     # the least id of each text is found before the join, so copies meet no window
     first = docs.groupBy("h").agg(F.min("doc_id").alias("canonical_id"))
     return docs.join(first, "h").select("doc_id", "canonical_id")
