@@ -60,4 +60,25 @@ c AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(1
 sum(length('<|turn|>') + length(replace({_CODED.format(x="role")}, chr(10), '&#10;')) + 1 + length({_CODED.format(x="text")}) + length('<|end|>') + 1) AS chars FROM rows GROUP BY conv_id)
 SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM c"""
 
-ORACLES = {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op2_exact_top_k": TOP_K, "op3_source_mixing": MIXING, "op7_chat_formatting": CHAT}
+_TERMS = "regexp_extract_all(translate(COALESCE(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(upper=_UPPER, lower=_LOWER)
+
+DECONTAMINATION = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents), i AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
+x AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda k: array_to_string(w[k:k + 9], ' '))) AS t FROM i WHERE len(w) > 0),
+n AS (SELECT DISTINCT len(string_split(t, ' ')) AS n FROM x), p AS (SELECT r, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS k FROM d, n),
+m AS (SELECT r, k, n, item_id FROM p JOIN x ON array_to_string(w[k:k + n - 1], ' ') = t), h AS (SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS spot FROM m) GROUP BY r),
+o AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY encode(item)) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM m WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) AS BIGINT) AS n_hit, CAST(COALESCE(n_items, 0) AS BIGINT) AS n_items, sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN o USING (r)"""
+
+# CRC-32 of a word: its bytes from hex digits, through a table of 256 numbers that eight steps make
+_STEP = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+RESAMPLING = f"""WITH RECURSIVE made(b, k, c) AS (SELECT b, 0, CAST(b AS BIGINT) FROM range(256) t(b) UNION ALL SELECT b, k + 1, {_STEP} FROM made WHERE k < 8), crc AS (SELECT list(c ORDER BY b) AS steps FROM made WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents), words AS (SELECT r, unnest(w) AS word FROM d), aims AS (SELECT unnest({_TERMS}) AS word FROM benchmark),
+hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, CAST(length(hex(encode(word))) // 2 + 1 AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i - 1, 2) AS BIGINT))), lambda a, x: xor(a // 256, steps[xor(a, x) % 256 + 1])), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT word FROM (SELECT word FROM words UNION ALL SELECT word FROM aims)), crc),
+s AS (SELECT bucket, count(*) AS s FROM words JOIN hashed USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM aims JOIN hashed USING (word) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((COALESCE(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM words) + 10000.0::DOUBLE) / ((COALESCE(s, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM aims) + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket)),
+v AS (SELECT r, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM words JOIN hashed USING (word) JOIN g USING (bucket) GROUP BY r),
+e AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, COALESCE(weight, 0) AS weight, COALESCE(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN v USING (r)),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, r) AS place, count(*) FILTER (n_features >= 20) OVER () AS n FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM k"""
+
+ORACLES = {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op2_exact_top_k": TOP_K, "op3_source_mixing": MIXING, "op7_chat_formatting": CHAT, "op11_benchmark_decontamination": DECONTAMINATION, "op13_importance_resampling": RESAMPLING}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import formatted, logged, readback
 from .common import table
+from .decontamination import contaminations
 from .fingerprints import fingerprints
 from .langid import identified
 from .licenses import find_licenses
@@ -17,8 +18,10 @@ from .neardup import near_duplicates
 from .oracle import ORACLES
 from .packing import packed_documents
 from .pii import find_pii
+from .resampling import resampled
 from .secret_scan import find_secrets
 from .vectors import top_k
+from .whitening import whitened
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -67,8 +70,20 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_top_k, op3_source_mixing, op4_best_fit_packing, op5_secret_scan, op6_license_scan, op7_chat_formatting, op8_language_id, op9_pii, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_top_k, op3_source_mixing, op4_best_fit_packing, op5_secret_scan, op6_license_scan, op7_chat_formatting, op8_language_id, op9_pii, op10_document_fingerprints, op11_benchmark_decontamination, op12_embedding_whitening, op13_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:

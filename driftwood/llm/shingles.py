@@ -26,6 +26,9 @@ _BYTE_LOWER[65:91] = _BYTE[97:123]
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that part words of letters, digits and whatever is beyond ASCII.
+BETWEEN_TERMS = np.ones(256, dtype=bool)
+BETWEEN_TERMS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _powers = {}
 
 
@@ -71,9 +74,9 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the first word of each row (with the total at the end)."""
-    solid = ~_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the first word of each row (with the total at the end).  ``between`` marks the bytes that part words."""
+    solid = ~between[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
@@ -112,6 +115,16 @@ def shingle_hashes(hashes: np.ndarray, rows: np.ndarray, size: int = SHINGLE) ->
     return mix(out), offsets
 
 
+def runs(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of exactly ``size`` words inside a row, and the word each begins at."""
+    counts = np.maximum(np.diff(rows) - size + 1, 0)
+    first = np.repeat(rows[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+    out = np.full(len(first), _PLACE[50 + size], np.uint64)
+    for j in range(size):
+        out += hashes[first + j] * _PLACE[j]
+    return mix(out), first
+
+
 def row_shingles(column: pa.Array, size: int = SHINGLE, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For chunks of rows: the first row, the shingle hashes and their offsets."""
     for lo, _, data, offsets in text_chunks(column):
