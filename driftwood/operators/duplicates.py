@@ -5,8 +5,6 @@ Rows carry event_id, event_date, venue_id (null: unresolved), venue_text, start_
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,18 +144,3 @@ def greedy_clique(edges: DataFrame, group: str) -> DataFrame:
     kept = F.aggregate("others", none, lambda set_, x: F.when(F.size(F.array_except(set_, x["common"])) == 0, F.array_append(set_, x["b"])).otherwise(set_))
     best = trials.select(group, "a", kept.alias("kept")).groupBy(group).agg(F.min_by(F.array_append("kept", F.col("a")), F.struct(-F.size("kept"), "a")).alias("kept"))
     return best.select(group, F.explode("kept").alias("member"))
-
-
-def tagged(texts: DataFrame, terms: list[str]) -> DataFrame:
-    """``texts`` (id, text) with tags: dictionary terms found, longest first where they overlap.  The dictionary is small and rides with the code."""
-    import re
-
-    ordered = sorted(terms, key=lambda t: (-len(t), t))
-    pattern = re.compile("|".join(re.escape(t) for t in ordered), re.IGNORECASE) if ordered else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            tags = [sorted({m.group(0).lower() for m in pattern.finditer(t)}) if pattern and isinstance(t, str) else [] for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "tags": tags})
-
-    return texts.select("id", "text").mapInPandas(run, "id long, tags array<string>")

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tagging import occurrences
+
 
 def windowed_grid(events: DataFrame, rows: str, columns: str, day: str, today: Column, windows: Mapping[str, int]) -> DataFrame:
     """rows, columns and a count of events of the next so many days for each window; pairs without any stand with zeros.
@@ -91,19 +93,14 @@ def keyword_profile(words: DataFrame, key: str, order: str, most: int) -> DataFr
 def mentions(texts: DataFrame, places: DataFrame) -> DataFrame:
     """text_id, place, agreed of texts (text_id, text, region, genre) that hold a place's name (place, name, p_region, p_genre) run together.
 
-    A text's pieces of the lengths that names have are joined with the names
-    by equality, so a text meets only the places that it names.  The driver
-    learns the lengths, no more than the longest name has letters.  A match
-    counts where region or genre agrees.
+    All names are searched at once; a text meets only the places that it names.
+    A match counts where region or genre agrees.
     """
     together = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
     named = places.withColumn("_name", together("name")).filter("_name <> ''")
-    lengths = sorted(r[0] for r in named.select(F.length("_name")).distinct().collect())
-    whole = texts.withColumn("_text", together("text"))
-
-    def pieces(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_text") - n + 1)), lambda i: F.substr("_text", i, F.lit(n)))
-
-    met = whole.withColumn("_name", F.explode(F.array_distinct(F.flatten(F.array(*map(pieces, lengths)))))).join(named, "_name")
+    names = named.select(F.col("_name").alias("letters")).distinct().select(F.lit(0).alias("pattern"), "letters", F.lit(None).alias("scope"))
+    whole = texts.select(F.col("text_id").alias("key"), together("text").alias("text"), "region", "genre")
+    found = F.array_distinct(F.transform("hits", lambda h: F.substr("text", h.start + 1, h.end - h.start)))
+    met = occurrences(whole, names, whole_words=False).withColumn("_name", F.explode(found)).join(named, "_name")
     agreed = F.coalesce(F.col("region") == F.col("p_region"), F.lit(False)) | F.coalesce(F.col("genre") == F.col("p_genre"), F.lit(False))
-    return met.select("text_id", "place", agreed.alias("agreed"))
+    return met.select(F.col("key").alias("text_id"), "place", agreed.alias("agreed"))

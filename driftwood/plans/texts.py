@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import duplicates
+from ..operators import tagging
 from ..operators.graphs import stored
 from ..sources import pages as page_sources
 from .registry import query, table
@@ -73,11 +73,36 @@ def ordered_classification(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", label.alias("label"))
 
 
+def _terms(spark, sf_dir):
+    """Words and phrases that benchmark items open with, of the language they seem to be in."""
+    items = table(spark, sf_dir, "benchmark")
+    words = F.split("text", " ")
+    phrases = F.posexplode(F.array(words[0], F.concat_ws(" ", words[0], words[1]), F.concat_ws(" ", words[1], words[2]), words[2]))
+    kinds = F.array(F.array(F.lit("EVENING")), F.array(F.lit("PRACTICE"), F.lit("EVENING")), F.array(F.lit("SOCIAL")), F.array(F.lit("WALK")))
+    lang = F.when(F.col("text").rlike(r"\b(the|and)\b"), "en").when(F.col("text").rlike(r"\b(le|les|des)\b"), "fr").when(F.col("text").rlike(r"\b(der|die|und)\b"), "de")
+    opened = items.select("item_id", "text", lang.alias("genre"), phrases.alias("k", "term"))
+    return opened.select((F.col("item_id") * 4 + F.col("k")).alias("term_id"), "term", F.element_at(kinds, F.col("k") + 1).alias("formats"), (F.length("text") % 7 > 0).alias("enabled"), "genre")
+
+
+def _tagged(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", F.col("lang").alias("genre"))
+    return tagging.tagged(docs, _terms(spark, sf_dir), tagging.Kinds().order)
+
+
 @query(None)
 def dictionary_tags(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = duplicates.tagged(docs, ["the", "the the", "nation", "avec", "und", "para"])
-    return found.select(F.col("id").alias("doc_id"), F.array_join("tags", ",").alias("tags"))
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return _tagged(spark, sf_dir).select(F.col("key").alias("doc_id"), "term", F.array_join("terms", ",").alias("tags"), joined("formats"), joined("term_ids"))
+
+
+@query(None)
+def event_kinds(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    types = F.element_at(F.array(*map(F.lit, ("EVENING", "PRACTICE", "PARTY", "FESTIVAL", "LECTURE", " "))), (F.col("n_chars") % 6 + 1).cast("int"))
+    stored = F.when(F.col("n_chars") % 5 == 0, F.array(F.lit("SOCIAL"), F.lit("EVENING")))
+    events = docs.select(F.col("doc_id").alias("key"), types.alias("event_type"), stored.alias("stored")).join(_tagged(spark, sf_dir), "key")
+    found = tagging.kinds(events, tagging.Kinds())
+    return found.select(F.col("key").alias("doc_id"), "display", F.array_join("kind_formats", ",").alias("formats"), "certainty", "uncertain", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("""SELECT o_orderkey, last_day(CAST(o_orderdate AS DATE)) - ((isodow(last_day(CAST(o_orderdate AS DATE))) + 1) % 7)::INTEGER AS last_saturday,
