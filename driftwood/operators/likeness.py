@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+
+from .graphs import stored
+
+
+def _runs(keys: Sequence[str], q: int):
+    """Each text's different runs of ``q`` letters (of all, if fewer) and how often each occurs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for *own, text in zip(*(batch[k] for k in keys), batch["text"]):
+                times = Counter(text[i : i + q] for i in range(max(len(text) - q + 1, 1)))
+                yield pd.DataFrame({**{k: [v] * len(times) for k, v in zip(keys, own)}, "n": len(text), "run": list(times), "times": list(times.values())})
+
+    return run
 
 
 def met_by_letters(texts: DataFrame, within: Sequence[str], key: str, percent: int) -> DataFrame:
@@ -22,14 +39,17 @@ def met_by_letters(texts: DataFrame, within: Sequence[str], key: str, percent: i
     p = percent / 100
     q = 2 if percent >= 82 else 1
     n = F.length("text")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.substr("text", i, F.lit(q)))
-    # the kth of a text's equal runs meets the kth of another's, so that runs count as often as they occur
-    dealt = texts.filter(n > 0).select(*within, key, n.alias("n"), F.explode(runs).alias("run")).groupBy(*within, key, "n", "run").agg(F.count("*").alias("times"))
+    # a text alone in its group meets none; the others are dealt out by number, which is never coalesced, as few texts make many runs
+    some = texts.filter(n > 0).groupBy(*within).agg(F.count("*").alias("_texts")).filter("_texts > 1").drop("_texts")
+    spread = texts.filter(n > 0).join(some, list(within)).select(*within, key, "text").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *within, key)
+    own = [spread.schema[c] for c in (*within, key)]
+    dealt = stored(spread.mapInPandas(_runs([*within, key], q), StructType([*own, StructField("n", IntegerType()), StructField("run", StringType()), StructField("times", LongType())])), "runs")
     held = dealt.groupBy(*within, "run").agg(F.sum("times").alias("held"))
     shared = F.greatest(F.lit(1), F.ceil((p / 2 - (q - 1) * (1 - p)) * 2 * F.col("n") / (2 - p) - (q - 1) - 1e-9))
     before = F.coalesce(F.sum("times").over(Window.partitionBy(*within, key).orderBy("held", "run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     room = F.greatest(F.col("n") - q + 1, F.lit(1)) - shared + 1 - before
     kept = dealt.join(held, [*within, "run"]).withColumn("room", room).filter("room > 0").select(*within, key, "n", "run", F.explode(F.sequence(F.lit(1), F.least("times", "room").cast("int"))).alias("nth"))
+    kept = stored(kept, "kept")
     left, right = (kept.select(*within, "run", "nth", F.col(key).alias(side), F.col("n").alias(f"n_{side}")) for side in ("a", "b"))
     met = left.join(right, [*within, "run", "nth"]).filter("a < b")
     return met.filter(F.least("n_a", "n_b") * (2 - p) >= F.greatest("n_a", "n_b") * p - 1e-9).select(*within, "a", "b").distinct()

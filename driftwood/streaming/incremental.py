@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from ..operators.graphs import shared_folder
 
 
-def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """A Parquet table as a stream of files; ts as a timestamp with a time zone, as watermarks need.
+def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table as a stream of files.
 
     Without ``files_per_batch`` all files there now are one batch.  A history
     is drained so: its files may be in any order, and a watermark that an
@@ -29,8 +30,24 @@ def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = N
     source = spark.readStream.schema(schema)
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
-    stream = source.option("pathGlobFilter", name).parquet(folder) if is_file else source.parquet(path)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return source.option("pathGlobFilter", name).parquet(folder) if is_file else source.parquet(path)
+
+
+def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """``file_stream`` with ts as a timestamp with a time zone, as watermarks need."""
+    return file_stream(spark, path, files_per_batch).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, which state with timers needs."""
+    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, rocks)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def usage(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
