@@ -44,13 +44,12 @@ _CHUNK = 128
 def quantised(embedding: Column | str, scale: int = SCALE) -> Column:
     """floor(scale * x) of each component; null for vectors that are null, empty or hold a null or non-finite component.
 
-    Vectors so long that a score might leave 64 bits raise an error.
+    So it is for vectors so long that their scores, which are 64-bit numbers, might not exist.
     """
     embedding = F.col(embedding) if isinstance(embedding, str) else embedding
     finite = F.forall(embedding, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)) & ~F.isnan(x))
     squares = F.aggregate(embedding, F.lit(0.0), lambda s, x: s + (F.abs(x.cast("double")) * scale + 1) * (F.abs(x.cast("double")) * scale + 1))
-    safe = F.when(squares < 9.0e18, F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("long"))).otherwise(F.raise_error(F.lit("scores of a vector this long may leave 64 bits")))
-    return F.when(embedding.isNotNull() & finite & (F.size(embedding) > 0), safe)
+    return F.when(embedding.isNotNull() & finite & (F.size(embedding) > 0) & (squares < 9.0e18), F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
 def _cells(low: dict[int, np.ndarray], width: dict[int, np.ndarray]):
@@ -139,8 +138,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     """query_id, rank (from 1), vec_id, score: the k best of ``vectors`` (vec_id, embedding) for each row where ``is_query``.
 
     Vectors that are null, empty or hold null or non-finite components, and
-    rows without vec_id, take no part; vectors too long for 64-bit scores
-    raise an error.  Only vectors of the query's length are its candidates, and
+    rows without vec_id, take no part, nor do vectors too long for 64-bit
+    scores.  Only vectors of the query's length are its candidates, and
     no row with its vec_id is.  A vec_id asks once: with the least of its
     vectors, if it stands on several rows.  A candidate row counts each time.
     Ties go to the smaller vec_id.  No vectors, no rows.

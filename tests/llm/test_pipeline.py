@@ -121,7 +121,7 @@ def test_stages_take_repeated_rows_null_ids_and_clashing_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = docs.limit(30)
     odd = odd.unionAll(odd.limit(5)).unionAll(odd.limit(5).selectExpr("cast(null as bigint) doc_id", "text", "lang", "source", "n_chars")).unionAll(odd.limit(2).selectExpr("doc_id", "cast(null as string) text", "cast(null as string) lang", "cast(null as string) source", "cast(null as bigint) n_chars"))
-    clashing = odd.selectExpr("*", "1 as row", "2 as id", "3 as size", "4 as target", "5 as before", "6 as item", "7 as root", "8 as position", "9 as taken")
+    clashing = odd.selectExpr("*", "1 as row", "2 as id", "3 as size", "4 as target", "5 as before", "6 as item", "7 as root", "8 as position", "9 as taken", "10 as _row")
     clashing = stored(clashing, "test")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stored(stage(spark, clashing, SF), name)
