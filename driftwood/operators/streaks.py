@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def failure_streak(log: DataFrame, key: str, newest_first: list[Column], ok: Column) -> DataFrame:
@@ -60,15 +62,42 @@ def ordinals(log: DataFrame, keys: Sequence[str], order: list[Column]) -> DataFr
     return log.withColumn("ordinal", nth).withColumn("recurrent", F.col("ordinal") > 1)
 
 
-def alerts(log: DataFrame, key: str, order: list[Column], failing: Column, threshold: int) -> DataFrame:
-    """``log`` with run (failures in a row so far) and alert: ALERT as a run reaches ``threshold``, REMINDER at each multiple, RECOVERED at the first ok after it."""
-    whole = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = log.withColumn("_fail", failing.cast("int")).withColumn("_block", F.sum(1 - F.col("_fail")).over(whole))
-    inside = Window.partitionBy(key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = out.withColumn("run", F.sum("_fail").over(inside).cast("long"))
-    before = F.coalesce(F.lag("run").over(Window.partitionBy(key).orderBy(*order)), F.lit(0))
-    alert = F.when(F.col("run") == threshold, "ALERT").when((F.col("run") > threshold) & (F.col("run") % threshold == 0), "REMINDER").when((F.col("run") == 0) & (before >= threshold), "RECOVERED")
-    return out.withColumn("alert", alert).drop("_fail", "_block")
+def _alerted(key: str, at: str, threshold: int, cooldown: int, schema: StructType):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, count, told = object(), 0, None
+        for batch in batches:
+            runs, notices = [], []
+            for k, seconds, failed in zip(batch[key], batch[at], batch["_fail"]):
+                if k != own and not (pd.isna(k) and pd.isna(own)):
+                    own, count, told = k, 0, None
+                notice = None
+                if failed:
+                    count += 1
+                    if told is None and count >= threshold:
+                        notice, told = "ALERT", seconds
+                    elif told is not None and seconds - told >= cooldown:
+                        notice, told = "REMINDER", seconds
+                else:
+                    notice = "RECOVERED" if told is not None else None
+                    count, told = 0, None
+                runs.append(count)
+                notices.append(notice)
+            yield batch.assign(run=runs, alert=notices)[schema.names]
+
+    return run
+
+
+def alerts(log: DataFrame, key: str, order: list[Column], failing: Column, seconds: Column, threshold: int, cooldown: int = 6 * 3600) -> DataFrame:
+    """``log`` with run (failures in a row so far) and alert.
+
+    ALERT as a run reaches ``threshold``; REMINDER at the first failure
+    ``cooldown`` seconds or more after the last notice; RECOVERED at the first
+    success after an alert.  Each key is walked in ``order`` in one task, which
+    holds a count and a time.
+    """
+    kept = log.withColumn("_fail", F.coalesce(failing, F.lit(False))).withColumn("_at", seconds.cast("long"))
+    schema = StructType([*log.schema.fields, StructField("run", LongType()), StructField("alert", StringType())])
+    return kept.repartition(key).sortWithinPartitions(key, *order).mapInPandas(_alerted(key, "_at", threshold, cooldown, schema), schema)
 
 
 def spans_of(rows: DataFrame, key: str, order: list[Column], label: Column) -> DataFrame:

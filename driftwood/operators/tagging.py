@@ -39,8 +39,8 @@ def _automaton(rows: Sequence[tuple]):
     return found
 
 
-def _hits(automaton, text: str | None, whole_words: bool) -> list[dict]:
-    """Every term's occurrences, left to right without overlaps of its own."""
+def _hits(automaton, text: str | None, whole_words: bool, overlapping: bool) -> list[dict]:
+    """Every term's occurrences, left to right; without overlaps of its own unless ``overlapping``."""
     out: list[dict] = []
     free: dict[int, int] = {}
     if not text or not len(automaton):
@@ -49,19 +49,19 @@ def _hits(automaton, text: str | None, whole_words: bool) -> list[dict]:
         start, end = last + 1 - size, last + 1
         if whole_words and latin and (text[max(start - 1, 0) : start] in _LATIN or text[end : end + 1] in _LATIN):
             continue
-        if free.get(id(owners), 0) <= start:
+        if overlapping or free.get(id(owners), 0) <= start:
             free[id(owners)] = end
             out += [{"start": start, "end": end, "pattern": p, "scope": s} for p, s in owners]
     return out
 
 
-def occurrences(texts: DataFrame, patterns: DataFrame, whole_words: bool = True, most_letters: int = MOST_LETTERS) -> DataFrame:
+def occurrences(texts: DataFrame, patterns: DataFrame, whole_words: bool = True, most_letters: int = MOST_LETTERS, overlapping: bool = False) -> DataFrame:
     """``texts`` (key, text and more) with hits: array of (start, end, pattern, scope), places in code points.
 
     ``patterns`` has pattern (long), letters and scope (string or null).  Letters
     are compared as they are; fold both sides alike.  With ``whole_words`` a
-    Latin pattern stands between other characters than a-z and 0-9.  Patterns
-    without letters hit nothing; texts without hits have empty arrays.  Keys
+    Latin pattern stands between other characters than a-z and 0-9; a pattern
+    overlaps itself only if ``overlapping``.  Patterns without letters hit nothing; texts without hits have empty arrays.  Keys
     should be unique.
     """
     patterns = patterns.filter("letters <> ''").select(F.col("pattern").cast("long").alias("pattern"), "letters", F.col("scope").cast("string").alias("scope"))
@@ -73,7 +73,7 @@ def occurrences(texts: DataFrame, patterns: DataFrame, whole_words: bool = True,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(rows)
             for batch in batches:
-                hits = [_hits(automaton, t, whole_words) for t in batch.column("text").to_pylist()]
+                hits = [_hits(automaton, t, whole_words, overlapping) for t in batch.column("text").to_pylist()]
                 yield batch.append_column("hits", pa.array(hits, _HITS))
 
         return texts.mapInArrow(run, StructType(texts.schema.fields + [StructField("hits", _HIT)]))
@@ -87,7 +87,7 @@ def occurrences(texts: DataFrame, patterns: DataFrame, whole_words: bool = True,
 
     def search(group: tuple, some: pa.Table, terms: pa.Table) -> pa.Table:
         automaton = _automaton(list(zip(*(terms.column(c).to_pylist() for c in ("pattern", "letters", "scope")))))
-        hits = [_hits(automaton, t, whole_words) for t in some.column("text").to_pylist()]
+        hits = [_hits(automaton, t, whole_words, overlapping) for t in some.column("text").to_pylist()]
         return pa.table({"key": some.column("key"), "hits": pa.array(hits, _HITS)})
 
     met = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(search, StructType([texts.schema["key"], StructField("hits", _HIT)]))

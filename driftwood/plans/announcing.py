@@ -62,12 +62,12 @@ def verified_events(spark, sf_dir):
     return announcements.verified(announcements.field_states(_sightings(spark, sf_dir), ["event_id"]), ["event_id"])
 
 
-@query("""WITH x AS (SELECT l_orderkey AS k, CASE WHEN l_linenumber % 2 = 0 THEN 'seg' ELSE 'status' END AS field, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_returnflag END AS value, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_shipdate DESC, l_linenumber DESC) AS r FROM lineitem WHERE l_linenumber <= 4)
+@query("""WITH x AS (SELECT l_orderkey AS k, CASE WHEN l_linenumber % 2 = 0 THEN 'seg' ELSE 'status' END AS field, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_returnflag END AS value, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_shipdate DESC, l_linenumber DESC, l_extendedprice DESC) AS r FROM lineitem)
 SELECT o_orderkey AS k, CASE WHEN a.k IS NOT NULL THEN a.value ELSE o_orderpriority END AS seg, CASE WHEN b.k IS NOT NULL THEN b.value ELSE o_orderstatus END AS status FROM orders LEFT JOIN x a ON a.k = o_orderkey AND a.field = 'seg' AND a.r = 1 LEFT JOIN x b ON b.k = o_orderkey AND b.field = 'status' AND b.r = 1""")
 def corrections_overlay(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("seg"), F.col("o_orderstatus").alias("status"))
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 4")
-    fixes = lines.select(F.col("l_orderkey").alias("k"), F.when(F.col("l_linenumber") % 2 == 0, "seg").otherwise("status").alias("field"), F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("value"), F.struct("l_shipdate", "l_linenumber").alias("at"))
+    lines = table(spark, sf_dir, "lineitem")
+    fixes = lines.select(F.col("l_orderkey").alias("k"), F.when(F.col("l_linenumber") % 2 == 0, "seg").otherwise("status").alias("field"), F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("value"), F.struct("l_shipdate", "l_linenumber", "l_extendedprice").alias("at"))
     return announcements.corrected(rows, fixes, "k", ["seg", "status"])
 
 

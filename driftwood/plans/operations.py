@@ -82,10 +82,13 @@ def recurrence_ordinals(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT event_id, user_id, ts, CASE WHEN event_type IN ('error', 'view') THEN 1 ELSE 0 END AS fail FROM events), b AS (SELECT *, sum(1 - fail) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS block FROM f),
-r AS (SELECT *, sum(fail) OVER (PARTITION BY user_id, block ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM b), l AS (SELECT *, COALESCE(lag(run) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS before FROM r)
-SELECT event_id, CAST(run AS BIGINT) AS run, CASE WHEN run = 3 THEN 'ALERT' WHEN run > 3 AND run % 3 = 0 THEN 'REMINDER' WHEN run = 0 AND before >= 3 THEN 'RECOVERED' END AS alert FROM l""")
+r AS (SELECT *, sum(fail) OVER (PARTITION BY user_id, block ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM b), l AS (SELECT *, COALESCE(lag(run) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS before FROM r),
+g AS (SELECT user_id, block, list(struct_pack(s := CAST(floor(epoch(ts)) AS BIGINT), id := event_id) ORDER BY ts, event_id) AS late FROM r WHERE run >= 3 GROUP BY 1, 2),
+t AS (SELECT user_id, block, list_reduce(late, lambda said, x: CASE WHEN x.s >= said[-1].s + 21600 THEN list_append(said, x) ELSE said END, late[1:1]) AS said FROM g),
+n AS (SELECT unnest(list_transform(said, lambda x: x.id)) AS event_id, unnest(range(len(said))) AS k FROM t)
+SELECT event_id, CAST(run AS BIGINT) AS run, CASE WHEN k = 0 THEN 'ALERT' WHEN k > 0 THEN 'REMINDER' WHEN run = 0 AND before >= 3 THEN 'RECOVERED' END AS alert FROM l LEFT JOIN n USING (event_id)""")
 def alert_hysteresis(spark, sf_dir):
-    return streaks.alerts(table(spark, sf_dir, "events"), "user_id", [F.asc("ts"), F.asc("event_id")], F.col("event_type").isin("error", "view"), 3).select("event_id", "run", "alert")
+    return streaks.alerts(table(spark, sf_dir, "events"), "user_id", [F.asc("ts"), F.asc("event_id")], F.col("event_type").isin("error", "view"), F.unix_timestamp(F.col("ts").cast("timestamp")), 3).select("event_id", "run", "alert")
 
 
 @query("""WITH c AS (SELECT *, CASE WHEN lag(role) OVER w IS NOT DISTINCT FROM role AND lag(turn) OVER w IS NOT NULL THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))

@@ -83,9 +83,21 @@ def duplicate_pairs(spark, sf_dir):
     return duplicates.pairs(_dedup(spark, sf_dir))
 
 
-@query(f"WITH {EVENTS_SQL}, {_DEDUP}, g AS (SELECT event_id, min(event_id) OVER (PARTITION BY event_date, venue_id, start_min) AS canonical_id FROM dd WHERE venue_id IS NOT NULL) SELECT event_id, canonical_id FROM g WHERE event_id <> canonical_id")
+_FITS = "r.name = x.name AND (r.metro IS NULL OR x.metro IS NULL OR r.metro = x.metro)"
+
+
+@query(f"""WITH {EVENTS_SQL}, {_DEDUP}, g AS (SELECT list(struct_pack(id := event_id, name := name_key, metro := metro) ORDER BY event_id) AS xs FROM dd WHERE venue_id IS NOT NULL AND start_min IS NOT NULL GROUP BY event_date, venue_id, start_min),
+w AS (SELECT list_reduce(xs, lambda acc, x: CASE WHEN len(list_filter(acc, lambda r: {_FITS})) = 0 THEN list_append(acc, struct_pack(root := x.id, name := x.name, metro := x.metro, ids := [x.id]))
+ELSE list_transform(acc, lambda r, i: CASE WHEN i = list_position(list_transform(acc, lambda r: COALESCE({_FITS}, FALSE)), TRUE) THEN struct_pack(root := r.root, name := r.name, metro := COALESCE(r.metro, x.metro), ids := list_append(r.ids, x.id)) ELSE r END) END,
+CAST([] AS STRUCT(root BIGINT, name VARCHAR, metro VARCHAR, ids BIGINT[])[])) AS roots FROM g), f AS (SELECT unnest(roots) AS r FROM w), e AS (SELECT unnest(r.ids) AS event_id, r.root AS canonical_id FROM f) SELECT event_id, canonical_id FROM e WHERE event_id <> canonical_id""")
 def folded_events(spark, sf_dir):
-    return duplicates.folded(_dedup(spark, sf_dir).withColumn("metro", F.lit(None).cast("string")))
+    # a person has told apart what is listed under two names
+    rows = _dedup(spark, sf_dir).filter("event_date is not null and venue_id is not null and start_min is not null")
+    keys = ["event_date", "venue_id", "start_min"]
+    named = rows.select(*keys, "event_id", "name_key")
+    other = rows.select(*keys, F.col("event_id").alias("other_id"), F.col("name_key").alias("other_name"))
+    blocked = named.join(other, keys).filter("name_key <> other_name and event_id < other_id").select("event_id", "other_id")
+    return duplicates.folded(rows, blocked)
 
 
 @query(f"""WITH {EVENTS_SQL}, m AS (SELECT source_id AS group_id, event_id, CASE tier WHEN 'PRIMARY' THEN 0 WHEN 'OFFICIAL' THEN 1 WHEN 'COMMUNITY' THEN 2 ELSE 3 END AS t, CASE WHEN start_min IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN end_date IS NOT NULL THEN 1 ELSE 0 END AS points, event_id % 17 = 0 AS pinned FROM ev)
