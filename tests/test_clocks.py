@@ -54,7 +54,7 @@ def test_start_min(spark, text, start):
 @pytest.mark.parametrize(
     "text, roles",
     [
-        ("2026.10.22 신청 마감 2026.10.25", ["DEADLINE", "EVENT"]),
+        ("2026.6.3 접수 마감 2026.6.9", ["DEADLINE", "EVENT"]),
         ("예매 기간: 2026-10-01 ~ 2026-10-09\n2026-10-31", ["DEADLINE", "DEADLINE", "EVENT"]),
         ("deadline: 2026/10/01", ["DEADLINE"]),
         ("2026.10.22(목) 18:00까지", ["DEADLINE"]),
