@@ -257,11 +257,14 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, bands: i
     stay.  So do rows without words.  Of rows that tie, any one stays.  No rows
     in: no rows out.
     """
-    # the documents' own columns travel in one, so that any names will do
-    docs = numbered(docs.select(F.struct(*docs.columns).alias("row")), "id", "rows")
-    own = docs.select("id", "row.doc_id", "row.text")
+    # the rows' number has a name that no column has
+    number = "_row"
+    while number in {c.lower() for c in docs.columns}:
+        number += "_"
+    docs = numbered(docs, number, "rows")
+    own = docs.select(F.col(number).alias("id"), "doc_id", "text")
     sketch = stored(own.mapInArrow(_sketches(rows, bands, size), _SKETCH), "sketch")
     found = stored(_labelled(sketch, own.select("id", "text"), percent, size, False).filter("root is not null"), "labelled")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "id")).alias("first")).select("root", F.col("first.id").alias("first"))
-    gone = found.join(first, "root").filter("id <> first").select("id")
-    return docs.join(gone, "id", "left_anti").select("row.*")
+    gone = found.join(first, "root").filter("id <> first").select(F.col("id").alias(number))
+    return docs.join(gone, number, "left_anti").drop(number)
