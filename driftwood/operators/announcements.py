@@ -21,6 +21,10 @@ class Vocabulary:
     socials: Sequence[str] = ("소셜", "파티", "정모", "social", "party")
     doors: Sequence[str] = ("입장", "오픈", "doors", "open")
     courses: Sequence[str] = ("개강", "수강", "회차", "weeks", "enrol", "register")
+    open_classes: Sequence[str] = ("오픈클래스", "오픈 클래스", "원데이", "open class", "taster")
+    lessons: Sequence[str] = ("특강", "강좌", "레슨", "seminar", "masterclass")
+    night_categories: Sequence[str] = ("SOCIAL", "PARTY", "NIGHT")
+    course_categories: Sequence[str] = ("LESSON", "COURSE")
 
 
 VOCABULARY = Vocabulary()
@@ -76,6 +80,73 @@ def kind(title: Column, body: Column, known: Column, words: Vocabulary = VOCABUL
     )
 
 
+def traits(title: Column, body: Column, published: Column, category: Column, words: Vocabulary = VOCABULARY) -> Column:
+    """``evidence`` and what else the decision list asks: struct of booleans.
+
+    - ``teaches``: a class word anywhere; ``open_class``: one open to all;
+    - ``lesson_title``: the title sells a lesson in other words;
+    - ``night_word``: a night word anywhere; ``own_night``: one in the title, and one in a line with a clock of its own;
+    - ``listed_night``: the source files it under nights, and it states a day and a clock;
+    - ``notice``: a day, a clock and a named place, whatever it calls itself;
+    - ``course`` also where the source files it under courses.
+    """
+    whole, lines = F.concat_ws("\n", title, body), F.split(F.coalesce(body, F.lit("")), "\n")
+    day, clock = extraction.event_date(whole, published).isNotNull(), extraction.time_range(whole).isNotNull()
+    timed = lambda line: line.rlike(r"[0-9]{1,2}\s*(?::[0-9]{2}|시|[ap]m)") | line.rlike(r"(?i)[ap]m\s*[0-9]")
+    more = {
+        "teaches": any_of(words.classes, whole),
+        "open_class": any_of(words.open_classes, whole),
+        "lesson_title": any_of(words.lessons, title),
+        "night_word": any_of(words.milongas, whole),
+        "own_night": any_of(words.milongas, title) & F.exists(lines, lambda line: any_of(words.milongas, line) & timed(line)),
+        "listed_night": F.coalesce(category.isin(*words.night_categories), F.lit(False)) & day & clock,
+        "notice": day & clock & extraction.venue(whole).isNotNull(),
+    }
+    known = evidence(title, body, published, words)
+    more["course"] = known["course"] | F.coalesce(category.isin(*words.course_categories), F.lit(False))
+    return F.struct(*[known[c].alias(c) for c in ("social", "party", "night", "recap")], *[v.alias(c) for c, v in more.items()])
+
+
+#: The decision list: rule, what must hold, and the kind it gives (in small letters: the column that has it).
+RULES = (
+    ("recap", lambda t: t.recap, "OTHER"),
+    ("known board", lambda t: F.col("known_kind").isNotNull(), "known_kind"),
+    ("festival record", lambda t: F.coalesce(F.col("record_format") == "FESTIVAL", F.lit(False)), "FESTIVAL"),
+    ("open class of a night", lambda t: t.teaches & t.night_word & t.open_class, "MILONGA_WITH_CLASS"),
+    ("social that teaches", lambda t: t.teaches & t.social & ~t.course, "SOCIAL_WITH_CLASS"),
+    ("party that teaches", lambda t: t.teaches & t.party, "SOCIAL_WITH_CLASS"),
+    ("night that teaches", lambda t: t.teaches & t.night, "MILONGA_WITH_CLASS"),
+    ("listed night that teaches", lambda t: t.teaches & t.listed_night, "SOCIAL_WITH_CLASS"),
+    ("class", lambda t: t.teaches, "CLASS"),
+    ("social with a lesson", lambda t: t.lesson_title & t.social & ~t.course, "SOCIAL_WITH_CLASS"),
+    ("party with a lesson", lambda t: t.lesson_title & t.party, "SOCIAL_WITH_CLASS"),
+    ("lesson", lambda t: t.lesson_title & ~t.own_night, "CLASS"),
+    ("course", lambda t: ~t.lesson_title & t.course, "CLASS"),
+    ("night", lambda t: t.night_word, "MILONGA"),
+    ("social", lambda t: t.social, "SOCIAL"),
+    ("notice", lambda t: t.notice, "SOCIAL"),
+    ("structure", lambda t: F.coalesce(F.col("fallback").isin("MILONGA", "SOCIAL", "MILONGA_WITH_CLASS", "SOCIAL_WITH_CLASS"), F.lit(False)), "fallback"),
+)
+
+
+def given(kind: str) -> Column:
+    return F.col(kind) if kind.islower() else F.lit(kind)
+
+
+def classified(posts: DataFrame, words: Vocabulary = VOCABULARY) -> DataFrame:
+    """``posts`` with kind and rule: the first rule of the list that holds, OTHER without any.
+
+    ``posts`` has title, body, published, category (the source's own),
+    known_kind (a board of one kind), record_format and fallback (what a
+    source's structure says where words say nothing).  A recap is no event
+    whatever its board says; a post that sells a course is no social for
+    mentioning one; structure never overrules words.
+    """
+    read = posts.withColumn("_t", traits(F.col("title"), F.col("body"), F.col("published"), F.col("category"), words))
+    chosen = F.coalesce(*[F.when(holds(F.col("_t")), F.struct(F.lit(name).alias("rule"), given(kind).alias("kind"))) for name, holds, kind in RULES], F.struct(F.lit("none").alias("rule"), F.lit("OTHER").alias("kind")))
+    return read.withColumn("_c", chosen).select(*posts.columns, F.col("_c.kind").alias("kind"), F.col("_c.rule").alias("rule"))
+
+
 def candidates(posts: DataFrame) -> DataFrame:
     """One candidate for each dated segment of a post: post_id, nth, kind, event_date, start_min, end_min, end_day_offset, fee, fee_options, venue.
 

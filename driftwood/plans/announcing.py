@@ -140,3 +140,37 @@ def evidence_bundles(spark, sf_dir):
     )
     told = table(spark, sf_dir, "orders").select(k.alias("post_id"), announcements.evidence(title, F.concat_ws("\n", *lines), F.date_add(F.to_date("o_orderdate"), -3)).alias("e"))
     return told.select("post_id", "e.*")
+
+
+#: What a post says: in its title, or in a line of its body; and the orders that say it.
+_TITLE_SAYS = {"recap": ("후기", "o_orderkey % 17 = 0"), "lesson": ("레슨", "o_orderkey % 6 = 0"), "social": ("파티", "o_custkey % 5 = 0"), "night": ("밀롱가", "o_custkey % 7 = 0")}
+_BODY_SAYS = {
+    "class": ("워크숍 안내", "o_custkey % 3 = 0"), "open": ("오픈클래스 있습니다", "o_orderkey % 4 = 0"), "enrol": ("수강 신청", "o_custkey % 4 = 0"), "night_line": ("밀롱가 20:00-23:30", "o_orderkey % 5 = 1"),
+    "social_line": ("소셜 21시", "o_orderkey % 13 = 0"), "doors": ("입장 19:30 부터", "o_orderkey % 3 = 0"), "day": ("2026.8.14", "o_custkey % 2 = 0"), "clock": ("20:00-23:30", "o_orderkey % 2 = 0"),
+    "fee": ("입장료 15000원", "o_orderkey % 3 < 2"), "place": ("장소: 강변홀", "o_orderkey % 7 < 4"),
+}
+_SAID = ", ".join(f"({when}) AS {name}" for name, (_, when) in (_TITLE_SAYS | _BODY_SAYS).items() if name not in ("class", "night")) + ", (o_custkey % 3 = 0) AS teaches, (o_custkey % 7 = 0) AS night_title"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, {_SAID}, o_orderkey % 9 = 0 AS listed, o_orderkey % 11 = 0 AS filed, o_orderkey % 23 = 0 AS known, o_orderkey % 29 = 0 AS festival, o_orderkey % 8 = 0 AS structured FROM orders),
+t AS (SELECT *, clock OR night_line AS timed, social OR social_line AS sociable, night_title OR night_line AS nightly, (teaches AND enrol) OR (filed AND NOT listed) AS course, day AND doors AND fee AS party FROM o)
+SELECT o_orderkey AS post_id, CASE WHEN recap THEN 'OTHER' WHEN known THEN 'MILONGA' WHEN festival THEN 'FESTIVAL' WHEN teaches AND nightly AND open THEN 'MILONGA_WITH_CLASS' WHEN teaches AND ((sociable AND NOT course) OR party) THEN 'SOCIAL_WITH_CLASS'
+WHEN teaches AND (night_title OR social) AND day AND timed THEN 'MILONGA_WITH_CLASS' WHEN teaches AND listed AND day AND timed THEN 'SOCIAL_WITH_CLASS' WHEN teaches THEN 'CLASS' WHEN lesson AND ((sociable AND NOT course) OR party) THEN 'SOCIAL_WITH_CLASS'
+WHEN lesson AND NOT (night_title AND night_line) THEN 'CLASS' WHEN NOT lesson AND course THEN 'CLASS' WHEN nightly THEN 'MILONGA' WHEN sociable OR (day AND timed AND place) THEN 'SOCIAL' WHEN structured THEN 'SOCIAL' ELSE 'OTHER' END AS kind FROM t""")
+def classified_posts(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    said = lambda table_, *more: F.array_compact(F.array(*more, *[F.when(F.expr(when), F.lit(phrase)) for phrase, when in table_.values()]))
+    lines = said(_BODY_SAYS, F.col("o_orderpriority"))
+    k = F.col("o_orderkey")
+    posts = orders.select(
+        k.alias("post_id"),
+        F.array_join(said(_TITLE_SAYS, F.lit("a name")), " ").alias("title"),
+        F.array_join(F.when(k % 2 == 0, lines).otherwise(F.reverse(lines)), "\n").alias("body"),
+        F.lit("2026-07-01").cast("date").alias("published"),
+        F.when(k % 9 == 0, "PARTY").when(k % 11 == 0, "LESSON").alias("category"),
+        F.when(k % 23 == 0, "MILONGA").alias("known_kind"),
+        F.when(k % 29 == 0, "FESTIVAL").alias("record_format"),
+        F.when(k % 8 == 0, "SOCIAL").alias("fallback"),
+    )
+    # one small file: its posts are dealt out before they are read
+    return announcements.classified(posts.repartition("post_id")).select("post_id", "kind")

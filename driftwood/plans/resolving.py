@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import folded_key, similarity
-from ..operators import duplicates, graphs, incremental, resolution
+from ..operators import duplicates, graphs, incremental, previews, resolution
 from .registry import query, table
 from .shapes import EVENTS_SQL, events
 
@@ -164,3 +164,15 @@ def reconciled_validation(spark, sf_dir):
     truth = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("gt"))
     found = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("gt"))
     return resolution.reconciled(truth, found, "gt", 15)
+
+
+_PAIR_SQL = """SELECT a.event_id, b.event_id AS other_id, CASE WHEN a.venue_id = b.venue_id AND a.start_min = b.start_min THEN CASE WHEN a.metro <> b.metro THEN 'REVIEW' ELSE 'AUTO' END ELSE 'REVIEW' END AS rule
+FROM {0} a JOIN {0} b ON a.event_date = b.event_date AND a.event_id < b.event_id WHERE a.venue_id = b.venue_id OR (a.start_min = b.start_min AND a.name_key = b.name_key) OR (a.venue_text = b.venue_text AND a.start_min = b.start_min AND a.venue_id IS NULL AND b.venue_id IS NULL)"""
+
+
+@query(f"""WITH {EVENTS_SQL}, {_DEDUP}, links AS (SELECT n_name FROM nation WHERE n_regionkey = 1), aa AS (SELECT dd.* REPLACE (CASE WHEN venue_id IS NULL AND venue_text IN (SELECT n_name FROM links) THEN venue_text ELSE venue_id END AS venue_id) FROM dd),
+p AS ({_PAIR_SQL.format("dd")}), q AS ({_PAIR_SQL.format("aa")}) SELECT COALESCE(p.event_id, q.event_id) AS event_id, COALESCE(p.other_id, q.other_id) AS other_id, p.rule AS "before", q.rule AS "after" FROM p FULL JOIN q ON p.event_id = q.event_id AND p.other_id = q.other_id WHERE p.rule IS DISTINCT FROM q.rule""")
+def link_preview(spark, sf_dir):
+    """What linking the texts of one region's nations to their places would change among pairs."""
+    links = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_name").alias("venue_text"), F.col("n_name").alias("venue_id"), F.lit(None).cast("string").alias("metro"))
+    return previews.previewed(_dedup(spark, sf_dir), links)[0]

@@ -17,25 +17,24 @@ PLAIN_WRAPPERS = ("stringValue", "doubleValue", "timestampValue", "geoPointValue
 PASS, VALID_EMPTY, FETCH_FAILED, PARSING_FAILED, PARTIAL, FAILED = "PASS", "VALID_EMPTY", "FETCH_FAILED", "PARSING_FAILED", "PARTIAL", "FAILED"
 
 
+def _whole(said):
+    """A number written as text; what is none stays as it is."""
+    return int(said) if isinstance(said, (int, str)) and str(said).strip().lstrip("+-").isdecimal() else said
+
+
+#: How the content of each wrapper is read.
+READERS: dict = dict.fromkeys(PLAIN_WRAPPERS, lambda said: said) | {
+    "integerValue": _whole,
+    "booleanValue": bool,
+    "arrayValue": lambda said: [unwrapped(v) for v in (said or {}).get("values") or ()],
+    "mapValue": lambda said: {k: unwrapped(v) for k, v in ((said or {}).get("fields") or {}).items()},
+}
+
+
 def unwrapped(value):
     """A typed value ({"integerValue": "3"}, {"mapValue": ...}) as a plain one, to any depth; unknown wrappers are null."""
-    if not isinstance(value, dict):
-        return None
-    for kind in PLAIN_WRAPPERS:
-        if kind in value:
-            return value[kind]
-    if "integerValue" in value:
-        try:
-            return int(value["integerValue"])
-        except (TypeError, ValueError):
-            return value["integerValue"]
-    if "booleanValue" in value:
-        return bool(value["booleanValue"])
-    if "arrayValue" in value:
-        return [unwrapped(v) for v in (value["arrayValue"] or {}).get("values") or []]
-    if "mapValue" in value:
-        return {k: unwrapped(v) for k, v in ((value["mapValue"] or {}).get("fields") or {}).items()}
-    return None
+    known = [kind for kind in value if kind in READERS] if isinstance(value, dict) else []
+    return READERS[known[0]](value[known[0]]) if known else None
 
 
 @F.pandas_udf(StringType())

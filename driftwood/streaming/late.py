@@ -122,7 +122,15 @@ class LateReadings:
         """``read`` turns (digest, text) into (digest, candidates)."""
         self.spark, self.read = spark, read
         self.folder = folder or f"{shared_folder(spark).rstrip('/')}/driftwood/late-{uuid.uuid4().hex}"
-        self.batches: list[int] = []
+        self.batches = self._finished()
+
+    def _finished(self) -> list[int]:
+        """Batches whose last table is whole; a driver that starts again goes on after them."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/corrections")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [f.getPath() for f in fs.listStatus(path)] if fs.exists(path) else []
+        whole = [p.getName() for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(name.partition("=")[2]) for name in whole)
 
     def _table(self, name: str, schema: str, before: int | None = None) -> DataFrame:
         paths = [f"{self.folder}/{name}/batch={n}" for n in self.batches if before is None or n < before]
@@ -143,8 +151,7 @@ class LateReadings:
         # rows of one text are read once
         unread = new.filter("kind <> 'REVIEW'").groupBy("digest").agg(F.any_value("text").alias("text")).join(known.select("digest"), "digest", "left_anti")
         self._write(self.read(unread).select("digest", "candidates"), "readings", batch)
-        if batch not in self.batches:
-            self.batches.append(batch)
+        self.batches = sorted({*self.batches, batch})
         touched = self._table("log", log_schema).filter(F.col("batch") == batch).select("item_id").distinct()
         log = self._table("log", log_schema).filter(F.col("batch") <= batch).join(touched, "item_id", "left_semi")
         readings = self._table("readings", reading_schema).filter(F.col("batch") <= batch).select("digest", "candidates")

@@ -81,6 +81,9 @@ def test_a_batch_of_bodies_that_runs_again_changes_nothing(spark):
     before = sorted(map(str, twice.outcomes().collect() + twice.candidates().collect() + twice.corrections().collect()))
     twice.take(second, 1)
     assert sorted(map(str, twice.outcomes().collect() + twice.candidates().collect() + twice.corrections().collect())) == before
+    # a driver that starts again finds what was done
+    again = late.LateReadings(spark, read, twice.folder)
+    assert again.batches == [0, 1] and sorted(map(str, again.outcomes().collect() + again.candidates().collect() + again.corrections().collect())) == before
 
 
 def test_candidates_keep_their_ids_when_read_again(spark):
