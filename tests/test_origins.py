@@ -7,7 +7,7 @@ from urllib.parse import urlsplit
 
 from pyspark.sql import functions as F
 
-from driftwood.functions.text import similarity
+from driftwood.functions.text import most_similarity, similarity
 from driftwood.operators import likeness, origins
 
 POST = "event string, source string, post_id long, title string, body string, published_at string, url string, poster string, origin string"
@@ -158,3 +158,23 @@ def test_verdicts_follow_the_order_of_evidence(spark):
     for r in origins.independent_sources(origins.pair_verdicts(every, posts, stated, with_status)).collect():
         sets.setdefault(r["event"], set()).add(r["member"])
     assert sets and all(want[e, a, b] == "INDEPENDENT" for e, s in sets.items() for a in s for b in s if a < b)
+
+
+def test_letter_runs_are_merged_and_never_broadcast(spark):
+    # files of runs are far smaller than their rows: a broadcast by their size fills the driver
+    df = spark.createDataFrame([("g", k, f"one text of many words {k}") for k in range(20)], "g string, k long, text string")
+    met = likeness.met_by_letters(df, ["g"], "k", 86)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_common_subsequence_bounds_likeness(spark):
+    rnd = random.Random(5)
+    text = lambda: "".join(rnd.choice("abc 밤") for _ in range(rnd.choice((0, 1, 9, 250))))
+    rows = [(a := text(), rnd.choice((text(), a[: len(a) // 2] + "x" + a[len(a) // 2 :], a))) for _ in range(120)]
+    for r in spark.createDataFrame(rows, "a string, b string").withColumn("most", most_similarity("a", "b")).collect():
+        both = [[0] * (len(r.b) + 1) for _ in range(len(r.a) + 1)]
+        for i, x in enumerate(r.a):
+            for j, y in enumerate(r.b):
+                both[i + 1][j + 1] = both[i][j] + 1 if x == y else max(both[i][j + 1], both[i + 1][j])
+        assert abs(r.most - (2 * both[-1][-1] / (len(r.a) + len(r.b)) if r.a or r.b else 1.0)) < 1e-9
+        assert all(difflib.SequenceMatcher(None, *p).ratio() <= r.most + 1e-9 for p in ((r.a, r.b), (r.b, r.a)))
