@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +25,12 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
     is drained so: its files may be in any order, and a watermark that an
     earlier batch has set would leave out rows behind it.
     """
-    schema = spark.read.parquet(path).schema
+    table = spark.read.parquet(path)
     folder, _, name = path.rstrip("/").rpartition("/")
-    is_file = name.endswith(".parquet") and not spark.read.parquet(path).isEmpty() and len(spark.read.parquet(path).inputFiles()) == 1
-    source = spark.readStream.schema(schema)
+    # a folder may hold one file too, so the file itself must bear the table's name in the table's folder
+    files = table.inputFiles()
+    is_file = len(files) == 1 and unquote(files[0]).split("/")[-2:] == path.rstrip("/").split("/")[-2:]
+    source = spark.readStream.schema(table.schema)
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
     return source.option("pathGlobFilter", name).parquet(folder) if is_file else source.parquet(path)

@@ -34,3 +34,18 @@ def test_streaks_and_first_seen_over_batches_out_of_order(spark, shuffled):
     assert sorted(map(tuple, best.collect())) == sorted(map(tuple, registered()["stream_failure_streak"][0](spark, SF).collect()))
     kept = incremental.drained(incremental.first_seen(stream(), ["event_id"]))
     assert kept.count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_a_folder_of_one_file_streams_its_rows(spark, tmp_path):
+    for name, rows in (("conversations", spark.read.parquet(f"{SF}/conversations.parquet")), ("events", spark.read.parquet(f"{SF}/events.parquet"))):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("late_outcomes", "late_bodies", "stream_first_seen"):
+        got, want = (sorted(map(str, registered()[name][0](spark, folder).collect())) for folder in (str(tmp_path), SF))
+        assert got and got == want
+
+
+def test_a_table_without_rows_streams_none(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    pq.write_table(pq.read_table(f"{SF}/conversations.parquet").slice(0, 0), f"{tmp_path}/conversations.parquet")
+    assert registered()["late_outcomes"][0](spark, str(tmp_path)).collect() == []
