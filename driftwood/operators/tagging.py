@@ -7,18 +7,23 @@ larger one is dealt into parts, and blocks of texts meet each part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from array import array
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-#: Letters of the terms that one automaton holds, and of the texts in a block that meets a part of them.
+#: Letters of the terms that one automaton holds, of the texts in a block that meets a part of them, and of texts whose hits are held at once.
 MOST_LETTERS = 1 << 20
 BLOCK_LETTERS = 1 << 24
+HELD_LETTERS = 1 << 20
+#: Hits that are held as Python objects at once.
+HELD_HITS = 1 << 16
 
 _HIT = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("pattern", LongType()), StructField("scope", StringType())]))
 _HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.int64()), ("scope", pa.string())]))
@@ -39,20 +44,52 @@ def _automaton(rows: Sequence[tuple]):
     return found
 
 
-def _hits(automaton, text: str | None, whole_words: bool, overlapping: bool) -> list[dict]:
-    """Every term's occurrences, left to right; without overlaps of its own unless ``overlapping``."""
-    out: list[dict] = []
+def _spans(automaton, text: str | None, whole_words: bool, overlapping: bool) -> Iterator[tuple[int, int, list]]:
+    """Every term's occurrences as start, end and owners, left to right by end; without overlaps of its own unless ``overlapping``."""
     free: dict[int, int] = {}
     if not text or not len(automaton):
-        return out
+        return
     for last, (size, latin, owners) in automaton.iter(text):
         start, end = last + 1 - size, last + 1
         if whole_words and latin and (text[max(start - 1, 0) : start] in _LATIN or text[end : end + 1] in _LATIN):
             continue
         if overlapping or free.get(id(owners), 0) <= start:
             free[id(owners)] = end
-            out += [{"start": start, "end": end, "pattern": p, "scope": s} for p, s in owners]
-    return out
+            yield start, end, owners
+
+
+def _hits(automaton, texts: list[str | None], whole_words: bool, overlapping: bool) -> pa.Array:
+    """The hits of each text, held as columns of numbers."""
+    starts, ends, patterns, scopes, offsets = array("i"), array("i"), array("q"), [], array("i", [0])
+    for text in texts:
+        for start, end, owners in _spans(automaton, text, whole_words, overlapping):
+            for pattern, scope in owners:
+                starts.append(start)
+                ends.append(end)
+                patterns.append(pattern)
+                scopes.append(scope)
+        offsets.append(len(starts))
+    fields = [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(patterns, pa.int64()), pa.array(scopes, pa.string())]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_HITS.value_type)))
+
+
+def pieces(batch: pa.RecordBatch, weigh: str = "text", most: int = HELD_LETTERS) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows, each of ``most`` letters (or items, of a list) at most or a single row: one row may make many hits."""
+    column = batch.column(weigh)
+    sizes = pc.fill_null(pc.list_value_length(column) if pa.types.is_list(column.type) else pc.utf8_length(column), 0).to_pylist()
+    first = held = 0
+    for i, size in enumerate(sizes):
+        if i > first and held + size > most:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield batch.slice(first)
+
+
+def _weight(patterns: DataFrame) -> int:
+    """Letters of a table; a row counts for a few besides its own, as many short terms weigh too."""
+    return patterns.agg(F.coalesce(F.sum(F.length("letters") + 16), F.lit(0))).first()[0]
 
 
 def occurrences(texts: DataFrame, patterns: DataFrame, whole_words: bool = True, most_letters: int = MOST_LETTERS, overlapping: bool = False) -> DataFrame:
@@ -65,16 +102,15 @@ def occurrences(texts: DataFrame, patterns: DataFrame, whole_words: bool = True,
     should be unique.
     """
     patterns = patterns.filter("letters <> ''").select(F.col("pattern").cast("long").alias("pattern"), "letters", F.col("scope").cast("string").alias("scope"))
-    # a row counts for a few letters besides its own, as many short terms weigh too
-    weight = patterns.agg(F.coalesce(F.sum(F.length("letters") + 16), F.lit(0))).first()[0]
+    weight = _weight(patterns)
     if weight <= most_letters:
         rows = [tuple(r) for r in patterns.collect()]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(rows)
             for batch in batches:
-                hits = [_hits(automaton, t, whole_words, overlapping) for t in batch.column("text").to_pylist()]
-                yield batch.append_column("hits", pa.array(hits, _HITS))
+                for some in pieces(batch):
+                    yield some.append_column("hits", _hits(automaton, some.column("text").to_pylist(), whole_words, overlapping))
 
         return texts.mapInArrow(run, StructType(texts.schema.fields + [StructField("hits", _HIT)]))
 
@@ -87,32 +123,79 @@ def occurrences(texts: DataFrame, patterns: DataFrame, whole_words: bool = True,
 
     def search(group: tuple, some: pa.Table, terms: pa.Table) -> pa.Table:
         automaton = _automaton(list(zip(*(terms.column(c).to_pylist() for c in ("pattern", "letters", "scope")))))
-        hits = [_hits(automaton, t, whole_words, overlapping) for t in some.column("text").to_pylist()]
-        return pa.table({"key": some.column("key"), "hits": pa.array(hits, _HITS)})
+        return pa.table({"key": some.column("key"), "hits": _hits(automaton, some.column("text").to_pylist(), whole_words, overlapping)})
 
     met = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(search, StructType([texts.schema["key"], StructField("hits", _HIT)]))
     return texts.join(met.groupBy("key").agg(F.flatten(F.collect_list("hits")).alias("hits")), "key")
 
 
-def _longest(hits: list) -> list:
-    import bisect
+def _longest(spans: Iterable[tuple[int, int, int]], size: int) -> list[dict]:
+    """Of (start, end, pattern), each span once, those that stay, longest first, ties to the earlier; a pattern once, with its first place and rank.
+
+    What stays is as long as what comes after it, so a later span that overlaps it has an end of its own inside.
+    """
+    taken = bytearray(size)
+    once: dict[int, dict] = {}
+    rank = 0
+    for start, end, pattern in sorted(spans, key=lambda s: (s[0] - s[1], s[0])):
+        if not taken[start] and not taken[end - 1]:
+            taken[start:end] = b"\1" * (end - start)
+            hit = once.setdefault(pattern, {"pattern": pattern, "start": start, "rank": rank})
+            hit["start"] = min(hit["start"], start)
+            rank += 1
+    return list(once.values())
+
+
+_CHOSEN = pa.list_(pa.struct([("pattern", pa.int64()), ("start", pa.int32()), ("rank", pa.int32())]))
 
-    kept: list[tuple[int, int]] = []
-    chosen = []
-    for hit in sorted(hits, key=lambda h: (h["start"] - h["end"], h["start"], h["letters"], h["pattern"])):
-        at = bisect.bisect_left(kept, (hit["start"], hit["start"]))
-        before = kept[at - 1][1] if at else 0
-        after = kept[at][0] if at < len(kept) else hit["end"]
-        if before <= hit["start"] and hit["end"] <= after:
-            kept.insert(at, (hit["start"], hit["end"]))
-            chosen.append({"start": hit["start"], "end": hit["end"], "pattern": hit["pattern"]})
-    return chosen
 
+def chosen_terms(texts: DataFrame, patterns: DataFrame, most_letters: int = MOST_LETTERS) -> DataFrame:
+    """key, chosen of ``texts`` (key, text, of): the patterns whose whole-word hits stay, longest first, with first place and rank.
 
-@F.pandas_udf(ArrayType(StructType(_HIT.elementType.fields[:3])))
-def longest_first(hits: pd.Series) -> pd.Series:
-    """The hits (start, end, pattern, letters) that stay, longest first: ties to the earlier, then by letters, then by pattern."""
-    return hits.map(lambda h: _longest(list(h)))
+    A text sees patterns of the scope ``of``, or all if that is null.  Of equal
+    letters the least pattern is meant.  With a table that rides along, hits never leave the task that finds them.
+    """
+    found = StructType([texts.schema["key"], StructField("chosen", ArrayType(StructType([StructField("pattern", LongType()), StructField("start", IntegerType()), StructField("rank", IntegerType())])))])
+    patterns = patterns.filter("letters <> ''")
+    weight = _weight(patterns)
+    if weight > most_letters:
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for some in pieces(batch, "hits", HELD_HITS):
+                    out = []
+                    for size, of, hits in zip(*(some.column(c).to_pylist() for c in ("size", "of", "hits"))):
+                        least: dict[tuple[int, int], int] = {}
+                        for h in hits:
+                            if of is None or h["scope"] == of:
+                                span = h["start"], h["end"]
+                                least[span] = min(h["pattern"], least.get(span, h["pattern"]))
+                        out.append(_longest(((*span, p) for span, p in least.items()), size or 0))
+                    yield pa.RecordBatch.from_arrays([some.column("key"), pa.array(out, _CHOSEN)], ["key", "chosen"])
+
+        seen = occurrences(texts, patterns, True, most_letters)
+        return seen.select("key", F.length("text").alias("size"), "of", "hits").mapInArrow(choose, found)
+    rows = [tuple(r) for r in patterns.select(F.col("pattern").cast("long"), "letters", F.col("scope").cast("string")).collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(rows)
+        least: dict[tuple[int, str | None], int | None] = {}
+
+        def meant(owners: list, of: str | None) -> int | None:
+            at = id(owners), of
+            if at not in least:
+                least[at] = min((p for p, scope in owners if of is None or scope == of), default=None)
+            return least[at]
+
+        for batch in batches:
+            for some in pieces(batch):
+                out = []
+                for text, of in zip(some.column("text").to_pylist(), some.column("of").to_pylist()):
+                    spans = ((start, end, meant(owners, of)) for start, end, owners in _spans(automaton, text, True, False))
+                    out.append(_longest((s for s in spans if s[2] is not None), len(text or "")))
+                yield pa.RecordBatch.from_arrays([some.column("key"), pa.array(out, _CHOSEN)], ["key", "chosen"])
+
+    return texts.select("key", "text", "of").mapInArrow(run, found)
 
 
 @F.pandas_udf(StringType())
@@ -144,12 +227,9 @@ def tagged(texts: DataFrame, terms: DataFrame, order: Sequence[str] = (), most_l
     """
     live = terms.filter("enabled and size(formats) > 0").select("term_id", "term", "formats", "genre", normal_term("term").alias("letters"))
     folded = texts.select("key", normal_term("text").alias("text"), F.col("genre").alias("of"))
-    seen = occurrences(folded, live.select(F.col("term_id").alias("pattern"), "letters", F.col("genre").alias("scope")), True, most_letters)
-    # a genre's own terms, or all where the text has none
-    scoped = F.filter("hits", lambda h: F.col("of").isNull() | F.coalesce(h.scope == F.col("of"), F.lit(False)))
-    lettered = F.transform(scoped, lambda h: F.struct(h.start.alias("start"), h.end.alias("end"), h.pattern.alias("pattern"), F.substr("text", h.start + 1, h.end - h.start).alias("letters")))
-    chosen = seen.select("key", longest_first(lettered).alias("chosen")).select("key", F.posexplode_outer("chosen").alias("rank", "hit"))
-    named = chosen.select("key", "rank", F.col("hit.start").alias("start"), F.col("hit.pattern").alias("term_id")).join(live.select("term_id", "term", "formats"), "term_id", "left")
+    chosen = chosen_terms(folded, live.select(F.col("term_id").alias("pattern"), "letters", F.col("genre").alias("scope")), most_letters)
+    once = chosen.select("key", F.explode_outer("chosen").alias("hit"))
+    named = once.select("key", F.col("hit.rank").alias("rank"), F.col("hit.start").alias("start"), F.col("hit.pattern").alias("term_id")).join(live.select("term_id", "term", "formats"), "term_id", "left")
     ordered = named.withColumn("formats", _in_order(F.col("formats"), order))
     per_term = ordered.groupBy("key", "term_id").agg(F.min(F.struct("start", "term_id", "term", "formats")).alias("m"), F.min("rank").alias("rank"))
     some = F.col("m.term_id").isNotNull()

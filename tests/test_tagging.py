@@ -126,3 +126,23 @@ def test_kinds_by_terms_then_storage_then_type(spark):
         11: ("?", [], "UNRESOLVED", True, ["NO_TERM", "ENGINE_NONE"]),
         12: ("milo · soc", ["EVENING", "SOCIAL"], "AMBIGUOUS", True, ["TERM_MATCH milo", "TERM_MATCH soc", "TERMS_DISAGREE", "NO_MIXED_TERM"]),
     }
+
+
+def test_hits_are_held_for_some_texts_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"key": list(range(7)), "text": ["ab", None, "abc", "", "밤" * 9, "a", "b"], "hits": [[1], None, [1, 2, 3], [], [4] * 9, [5], [6]]})
+    for weigh, most in (("text", 5), ("hits", 3)):
+        some = list(tagging.pieces(batch, weigh, most))
+        assert pa.Table.from_batches(some).to_pydict() == batch.to_pydict()
+        assert len(some) > 2 and all(b.num_rows == 1 or sum(len(x or "") for x in b.column(weigh).to_pylist()) <= most for b in some)
+    assert list(tagging.pieces(batch.slice(0, 0))) == []
+
+
+def test_a_term_of_a_text_leaves_its_task_once(spark):
+    texts = spark.createDataFrame([(1, "the nation " * 500, "en")], "key long, text string, of string")
+    patterns = spark.createDataFrame([(7, "the", None), (8, "nation", "en"), (9, "the", "en")], "pattern long, letters string, scope string")
+    for more in ({}, {"most_letters": 20}):
+        row = tagging.chosen_terms(texts, patterns, **more).first()
+        assert sorted((c["pattern"], c["start"]) for c in row["chosen"]) == [(8, 4), (9, 0)]
+        assert min(row["chosen"], key=lambda c: c["rank"])["pattern"] == 8
