@@ -5,12 +5,13 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .tagging import MOST_LETTERS, occurrences
+from .tagging import HELD_HITS, MOST_LETTERS, occurrences, pieces
 
 #: Characters on either side of a word in which a cancelling word counts.
 AROUND = 8
@@ -29,8 +30,8 @@ def cancelled_by(span: tuple[int, int], others: Sequence[tuple[int, int, int]],
     return found
 
 
-def _judged(labels: Mapping[int, tuple[str, str, int, str]], around: int, keep: Sequence[str]):
-    """Per text and label: the word that shows it, or the word and what cancelled it."""
+def _judged(labels: Mapping[int, tuple[str, str, int, str]], around: int, types: pa.Schema):
+    """Per text and label: the word that shows it, or the word and what cancelled it; some texts' hits at a time."""
 
     def judge(hits) -> Iterator[tuple[str, str, str | None]]:
         spans: dict[str, dict[str, list]] = {}
@@ -58,10 +59,11 @@ def _judged(labels: Mapping[int, tuple[str, str, int, str]], around: int, keep:
             elif wrapped:
                 yield label, *wrapped
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(*own, *found) for *own, hits in zip(*(batch[c] for c in keep), batch["hits"]) for found in judge(hits)]
-            yield pd.DataFrame(rows, columns=[*keep, "label", "word", "cancelled_by"])
+            for some in pieces(batch, "hits", HELD_HITS):
+                rows = [(key, *found) for key, hits in zip(some.column("key").to_pylist(), some.column("hits").to_pylist()) for found in judge(hits)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types.types)], schema=types)
 
     return run
 
@@ -85,4 +87,4 @@ def labels_in_context(texts: DataFrame, words: DataFrame, around: int = AROUND,
     patterns = texts.sparkSession.createDataFrame([(k, r[4], None) for k, r in enumerate(rows)], "pattern long, letters string, scope string")
     found = occurrences(texts.select("key", F.lower("text").alias("text")), patterns, False, most_letters, True)
     schema = StructType([texts.schema["key"], *(StructField(c, StringType()) for c in ("label", "word", "cancelled_by"))])
-    return found.select("key", "hits").mapInPandas(_judged(labels, around, ["key"]), schema)
+    return found.select("key", "hits").mapInArrow(_judged(labels, around, to_arrow_schema(schema)), schema)

@@ -128,3 +128,15 @@ def test_verdicts_on_pairs(spark):
     side = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id long, event_date date, venue_key string, name string")
     met = side.alias("a").join(side.alias("b"), F.col("a.id") == 1).select("b.id", recovery.same_event("a", "b", similarity).alias("v"))
     assert {r["id"]: (r["v"]["match"], r["v"]["review"], r["v"]["reasons"][0]) for r in met.collect()} == {0: (False, True, "DATE_MISSING"), 1: (True, False, "DATE_MATCH"), 2: (False, False, "DATE_MISMATCH"), 3: (False, False, "VENUE_MISMATCH"), 4: (False, True, "DATE_MATCH")}
+
+
+def test_contexts_are_judged_for_some_texts_at_a_time():
+    import pyarrow as pa
+
+    from driftwood.operators import contexts, tagging
+
+    hits = pa.array([[{"start": i, "end": i + 2, "pattern": 0, "scope": None} for i in range(tagging.HELD_HITS // 2)]] * 5, tagging._HITS)
+    types = pa.schema([("key", pa.int64()), *((c, pa.string()) for c in ("label", "word", "cancelled_by"))])
+    run = contexts._judged({0: ("en", contexts.WORD, 0, "th")}, 8, types)
+    out = list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), hits], ["key", "hits"])])))
+    assert len(out) == 3 and pa.Table.from_batches(out).to_pydict() == {"key": [0, 1, 2, 3, 4], "label": ["en"] * 5, "word": ["th"] * 5, "cancelled_by": [None] * 5}
