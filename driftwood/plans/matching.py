@@ -54,5 +54,5 @@ def _sides(spark, sf_dir):
 def recovered_events(spark, sf_dir):
     wanted, found = _sides(spark, sf_dir)
     wanted = wanted.withColumn("fee", F.when(F.col("fee") > 250000, F.col("fee")))
-    pairs = recovery.one_to_one(recovery.candidate_matches(wanted, found, similarity), "want_id", "found_id", ["score", "likeness"])
+    pairs = recovery.one_to_one_matches(wanted, found, similarity)
     return recovery.recovered(wanted, pairs, found, ["event_date", "start_min", "fee"], ["event_date", "start_min", "fee"])

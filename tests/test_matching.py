@@ -140,3 +140,21 @@ def test_contexts_are_judged_for_some_texts_at_a_time():
     run = contexts._judged({0: ("en", contexts.WORD, 0, "th")}, 8, types)
     out = list(run(iter([pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), hits], ["key", "hits"])])))
     assert len(out) == 3 and pa.Table.from_batches(out).to_pydict() == {"key": [0, 1, 2, 3, 4], "label": ["en"] * 5, "word": ["th"] * 5, "cancelled_by": [None] * 5}
+
+
+def test_matches_of_classes_are_those_of_all_pairs(spark):
+    rnd = random.Random(7)
+    for placed in (True, False):
+        places = ["hall", "club"] if placed else ["hall", "club", "", None]
+        row = lambda k: (k, rnd.choice([None, dt.date(2024, 1, 1), dt.date(2024, 1, 2)]), rnd.choice(places), rnd.choice(["friday night", "friday nite", "friday", "jam", "friday night jam", None]), None, None)  # noqa: E731, B023
+        wanted, found = ([row(k) for k in range(first, first + 60)] for first in (0, 40))
+        wanted, found = spark.createDataFrame(wanted, SIDE), spark.createDataFrame(found, SIDE)
+        want = recovery.one_to_one(recovery.candidate_matches(wanted, found, similarity), "want_id", "found_id", ["score", "likeness"])
+        got = recovery.one_to_one_matches(wanted, found, similarity)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect())) and got.count() > 20
+
+
+def test_copies_are_matched_without_their_pairs(spark):
+    side = lambda first: spark.range(first, first + 3000).select("id", F.lit("2024-01-01").cast("date").alias("event_date"), F.lit("hall").alias("venue_key"), F.lit("jam").alias("name"))
+    got = recovery.one_to_one_matches(side(0), side(3000), similarity)
+    assert got.agg(F.count("*"), F.count_if(F.col("found_id") == F.col("want_id") + 3000)).first() == (3000, 3000)
