@@ -106,3 +106,22 @@ def spans_of(rows: DataFrame, key: str, order: list[Column], label: Column) -> D
     changed = (~label.eqNullSafe(F.lag(label).over(window))) | F.lag(F.lit(1)).over(window).isNull()
     out = rows.withColumn("_new", changed.cast("int"))
     return out.withColumn("part", F.sum("_new").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long")).drop("_new")
+
+
+def counted_within(rows: DataFrame, key: str, at: str, length: int, name: str) -> DataFrame:
+    """``rows`` with how many of the key's rows lie in [at - length, at], the row and its peers included; rows without ``at`` count each other.
+
+    A sliding frame is summed anew for every row.  Here time is cut into
+    buckets of ``length``, and each row comes again one bucket on, at the moment
+    it leaves the frame: so a running count is enough, and a key is spread over
+    its buckets.
+    """
+    start = F.col(at) - F.pmod(F.col(at), F.lit(length))
+    own = rows.withColumn("_bucket", start).withColumn("_gone", F.lit(0))
+    gone = own.filter(F.col(at).isNotNull()).withColumns({at: F.col(at) + length, "_bucket": F.col("_bucket") + length, "_gone": F.lit(1)})
+    bucket = Window.partitionBy(key, "_bucket")
+    # what leaves at a row's own moment stands behind the row, and is still counted
+    running = bucket.orderBy(at, "_gone").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    left = F.sum("_gone").over(bucket) - F.sum("_gone").over(running)
+    counted = own.unionByName(gone).withColumn(name, F.count_if(F.col("_gone") == 0).over(running) + left)
+    return counted.filter("_gone = 0").drop("_bucket", "_gone")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..functions.numbers import clamp
 from ..functions.text import folded_key, similarity
-from ..operators import resolution, supply
+from ..operators import resolution, streaks, supply
 from .registry import query, table
 from .shapes import EVENTS_SQL, events
 
@@ -146,10 +146,6 @@ def discovery_upsert(spark, sf_dir):
 
 @query("""WITH s AS (SELECT event_id, user_id % 20 AS host, ts FROM events) SELECT event_id, CAST(count(*) OVER (PARTITION BY host ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS BIGINT) AS spent, count(*) OVER (PARTITION BY host ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) <= 20 AS within_budget FROM s""")
 def host_budget(spark, sf_dir):
-    from pyspark.sql import Window
-
-    day = 86_400_000_000
-    frame = Window.partitionBy("host").orderBy("at").rangeBetween(-day, 0)
     rows = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 20).alias("host"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    spent = F.count("*").over(frame)
-    return rows.select("event_id", spent.alias("spent"), (spent <= 20).alias("within_budget"))
+    counted = streaks.counted_within(rows, "host", "at", 86_400_000_000, "spent")
+    return counted.select("event_id", "spent", (F.col("spent") <= 20).alias("within_budget"))

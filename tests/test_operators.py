@@ -207,3 +207,17 @@ def test_lineage_reaches_the_last_ancestor_and_ends_on_cycles(spark):
 
 def test_digests_of_many_rows_do_not_overflow(spark):
     assert supply.revision_digest(spark.range(200_000), "id").first()["n"] == 200_000
+
+
+def test_rows_within_a_length_are_counted_without_sliding(spark):
+    import random
+
+    from driftwood.operators import streaks
+
+    rnd = random.Random(3)
+    rows = [(k, rnd.choice([None, 1, 2]), rnd.choice([None, rnd.randrange(-40, 40), 10 * rnd.randrange(-4, 4)])) for k in range(300)]
+    found = streaks.counted_within(spark.createDataFrame(rows, "id long, host long, at long"), "host", "at", 10, "n")
+    same = lambda h, t: [r for r in rows if r[1] == h and (r[2] is None if t is None else r[2] is not None and t - 10 <= r[2] <= t)]
+    assert {r["id"]: r["n"] for r in found.collect()} == {k: len(same(h, t)) for k, h, t in rows}
+    # no frame of the plan slides
+    assert "RangeFrame, -" not in found._jdf.queryExecution().optimizedPlan().toString()
