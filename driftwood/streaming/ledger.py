@@ -31,23 +31,31 @@ def isolated(rows: DataFrame, step: Callable[[pd.DataFrame], pd.DataFrame], sche
         part = part.reindex(columns=names).astype(object)
         return part.where(part.notna(), None).assign(outcome=outcome, error=error)
 
-    def attempt(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def attempt(batch: pd.DataFrame, done: list, failed: dict) -> None:
         try:
-            done = step(batch)
+            made = step(batch)
         except Exception as error:  # noqa: BLE001  whatever a row does must not end the others
             if len(batch) > 1:
                 half = len(batch) // 2
-                yield from attempt(batch.iloc[:half])
-                yield from attempt(batch.iloc[half:])
-                return
-            yield shaped(batch[keys], FAILED, f"{type(error).__name__}: {error}"[:MOST_ERROR])
+                attempt(batch.iloc[:half], done, failed)
+                attempt(batch.iloc[half:], done, failed)
+            else:
+                failed[batch.index[0]] = f"{type(error).__name__}: {error}"[:MOST_ERROR]
             return
-        yield shaped(done, NORMALIZED)
-        yield shaped(batch.loc[batch.index.difference(done.index), keys], SKIPPED)
+        done.append(made)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield from attempt(batch)
+            # parts are put together before they are shaped, which costs more than most steps; halves never share an index
+            batch = batch.reset_index(drop=True)
+            done: list[pd.DataFrame] = []
+            failed: dict[int, str] = {}
+            attempt(batch, done, failed)
+            made = pd.concat([part.astype(object) for part in done]) if done else batch.iloc[:0][keys]
+            yield shaped(made, NORMALIZED)
+            yield shaped(batch.loc[batch.index.difference(made.index).difference(list(failed)), keys], SKIPPED)
+            if failed:
+                yield shaped(batch.loc[list(failed), keys], FAILED).assign(error=list(failed.values()))
 
     return rows.mapInPandas(run, out)
 
