@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that say what kind of night it is, and so name none.
@@ -36,17 +36,35 @@ def half_day_apart(a: Column, b: Column) -> Column:
     return F.abs(a - b) == 720
 
 
+def met(members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, a, b (structs of the other columns), names of every two members (event_id, words, ...) that share the keys, the smaller id first.
+
+    Names are compared once for two names of a group, however many members bear
+    them: a member brings the numbers of the names that match its own, and a
+    pair looks one number up.
+    """
+    numbered = members.dropna(subset=list(keys)).withColumn("name", F.dense_rank().over(Window.partitionBy(*keys).orderBy("words")))
+    borne = numbered.select(*keys, "name", "words").distinct()
+    other = borne.select(*keys, F.col("name").alias("_name"), F.col("words").alias("_words"))
+    alike = borne.join(other, list(keys)).filter(names_match(F.col("words"), F.col("_words"))).groupBy(*keys, "name").agg(F.collect_list("_name").alias("alike"))
+    rows = numbered.drop("words").join(alike, [*keys, "name"], "left")
+    side = lambda n: rows.select(*keys, F.struct(*[c for c in rows.columns if c not in keys]).alias(n))
+    joined = side("a").join(side("b"), list(keys)).filter("a.event_id < b.event_id")
+    return joined.withColumn("names", F.coalesce(F.array_contains("a.alike", F.col("b.name")), F.lit(False)))
+
+
 def readiness(pairs: DataFrame) -> DataFrame:
     """``pairs`` with ready, strength and facts: what says that two events (structs a and b) are one.
 
-    The structs have words, start_min, venue_id, source_id, end_date,
-    festival.  A field that nobody stated is no evidence; two resolved venues
-    that differ always refuse.
+    The structs have words (unless ``pairs`` has names: whether they match),
+    start_min, venue_id, source_id, end_date, festival.  A field that nobody
+    stated is no evidence; two resolved venues that differ always refuse.
     """
     a, b = F.col("a"), F.col("b")
     known = lambda f: a.getField(f).isNotNull() & b.getField(f).isNotNull()
     same = lambda f: F.coalesce(a.getField(f) == b.getField(f), F.lit(False))
-    names, clock, place = names_match(a.words, b.words), same("start_min"), same("venue_id")
+    names = F.col("names") if "names" in pairs.columns else names_match(a.words, b.words)
+    clock, place = same("start_min"), same("venue_id")
     place_conflict, independent = known("venue_id") & ~place, known("source_id") & ~same("source_id")
     close = ~known("start_min") | (F.abs(a.start_min - b.start_min) <= CLOSE_MINUTES)
     festivals, ends_differ = a.festival & b.festival, known("end_date") & ~same("end_date")
@@ -60,8 +78,8 @@ def readiness(pairs: DataFrame) -> DataFrame:
     )
     ready = why.isNotNull()
     strength = F.when(ready, F.when(independent | (names & clock & place), "STRONG").otherwise("MODERATE")).when(names | clock | place, "WEAK").otherwise("NONE")
-    facts = F.array_join(F.array_compact(F.array(F.when(names, "NAME"), F.when(clock, "START"), F.when(place, "PLACE"), F.when(independent, "INDEPENDENT"))), ",")
-    return pairs.withColumns({"ready": ready, "why": why, "strength": strength, "facts": facts, "auto": auto})
+    facts = F.concat_ws(",", F.when(names, "NAME"), F.when(clock, "START"), F.when(place, "PLACE"), F.when(independent, "INDEPENDENT"))
+    return pairs.withColumns({"ready": ready, "why": why, "strength": strength, "facts": facts, "auto": auto, "paired": names | clock})
 
 
 def pair_status(pairs: DataFrame) -> DataFrame:

@@ -110,3 +110,14 @@ def test_a_common_key_does_not_pair_all_with_all(spark):
     candidates = spark.createDataFrame([(k, "x", float(k % 50)) for k in range(200)], "alternative long, key string, reliability double")
     found = summaries.best_routes(failing, candidates, "key").collect()
     assert {(r["source"], r["alternative"]) for r in found} == {(k, a) for k in range(5) for a in (49, 99)}
+
+
+def test_names_of_a_group_are_compared_once_and_looked_up_by_pairs(spark):
+    words = [["carla"], ["carla", "b"], ["carlab"], [], ["x"]]
+    rows = [(k, None if k % 11 == 0 else k % 2, words[k % 5]) for k in range(1, 41)]
+    found = pairs.met(spark.createDataFrame(rows, "event_id long, day int, words array<string>"), ["day"])
+    alike = {(tuple(x), tuple(y)): spark.createDataFrame([(x, y)], "x array<string>, y array<string>").select(pairs.names_match(F.col("x"), F.col("y"))).first()[0] for x in words for y in words}
+    want = {(a[0], b[0]): alike[tuple(a[2]), tuple(b[2])] for a in rows for b in rows if a[0] < b[0] and a[1] is not None and a[1] == b[1]}
+    assert {(r["a"]["event_id"], r["b"]["event_id"]): r["names"] for r in found.collect()} == want
+    # no words travel with a pair
+    assert "words" not in found.schema["a"].dataType.names
