@@ -239,3 +239,27 @@ def test_pairs_leave_their_join_without_another_shuffle(spark):
             if a[0] < b[0] and (place or (clock and a[5] == b[5]) or (clock and a[2] is None and b[2] is None)):
                 want[a[0], b[0]] = "AUTO" if place and clock else "REVIEW"
     assert got == want
+
+
+def test_lineage_of_nodes_with_one_parent_is_grouped_in_no_round(spark):
+    links = spark.createDataFrame([(k, k // 2) for k in range(1, 200)], "node long, parent long")
+    found = graphs.lineage(links)
+    # the table is the rounds' parts, not one that was written anew
+    assert len({f.rsplit("/", 2)[-2] for f in found.inputFiles()}) > 1
+    got = sorted((r["node"], r["ancestor"], r["depth"]) for r in found.collect())
+    assert got == sorted((k, k >> d, d) for k in range(1, 200) for d in range(1, k.bit_length() + 1))
+
+
+def test_lineage_with_several_parents_and_lines_into_cycles_keeps_the_shortest_way(spark):
+    forks = [(k, k + 1) for k in range(1, 9)] + [(1, 4), (2, 7)]
+    into_cycle = [(20, 21), (21, 22), (22, 23), (23, 24), (24, 22), (30, 30), (31, 30)]
+    for edges in (into_cycle, forks + into_cycle):
+        want = {}
+        for start in {a for a, _ in edges}:
+            level, depth = {start}, 0
+            while level:
+                depth += 1
+                level = {b for a, b in edges if a in level and a != b and b != start and (start, b) not in want}
+                want |= {(start, b): depth for b in level}
+        found = graphs.lineage(spark.createDataFrame(edges, "node long, parent long"))
+        assert sorted((r["node"], r["ancestor"], r["depth"]) for r in found.collect()) == sorted((a, b, d) for (a, b), d in want.items())
