@@ -57,10 +57,13 @@ def stale(items: DataFrame, state: DataFrame, key: str, digest_: str, version: s
 
 
 def synced(current: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, action: INSERT what is wanted and missing, DELETE what is there and unwanted."""
-    insert = wanted.select(*keys).distinct().join(current, list(keys), "left_anti").withColumn("action", F.lit("INSERT"))
-    delete = current.select(*keys).distinct().join(wanted, list(keys), "left_anti").withColumn("action", F.lit("DELETE"))
-    return insert.unionByName(delete)
+    """keys, action: INSERT what is wanted and missing, DELETE what is there and unwanted; a null key is one like any other.
+
+    One grouping tells on which sides a key is (1: there, 2: wanted), so sides are neither joined nor sorted.
+    """
+    both = current.select(*keys, F.lit(1).alias("_side")).unionByName(wanted.select(*keys, F.lit(2).alias("_side")))
+    sides = both.groupBy(*keys).agg(F.bit_or("_side").alias("_sides")).filter("_sides <> 3")
+    return sides.select(*keys, F.when(F.col("_sides") == 2, "INSERT").otherwise("DELETE").alias("action"))
 
 
 def accumulated(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], counters: Sequence[str]) -> DataFrame:

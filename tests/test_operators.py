@@ -263,3 +263,9 @@ def test_lineage_with_several_parents_and_lines_into_cycles_keeps_the_shortest_w
                 want |= {(start, b): depth for b in level}
         found = graphs.lineage(spark.createDataFrame(edges, "node long, parent long"))
         assert sorted((r["node"], r["ancestor"], r["depth"]) for r in found.collect()) == sorted((a, b, d) for (a, b), d in want.items())
+
+
+def test_null_keys_are_synced_like_any_other(spark):
+    side = lambda *rows: spark.createDataFrame(list(rows), "k int, f string")
+    found = incremental.synced(side((1, "a"), (2, None), (None, None), (3, "c"), (3, "c")), side((1, "a"), (1, "a"), (2, None), (None, "n"), (4, "d")), ["k", "f"])
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([(None, None, "DELETE"), (3, "c", "DELETE"), (None, "n", "INSERT"), (4, "d", "INSERT")], key=repr)
