@@ -269,3 +269,13 @@ def test_null_keys_are_synced_like_any_other(spark):
     side = lambda *rows: spark.createDataFrame(list(rows), "k int, f string")
     found = incremental.synced(side((1, "a"), (2, None), (None, None), (3, "c"), (3, "c")), side((1, "a"), (1, "a"), (2, None), (None, "n"), (4, "d")), ["k", "f"])
     assert sorted(map(tuple, found.collect()), key=repr) == sorted([(None, None, "DELETE"), (3, "c", "DELETE"), (None, "n", "INSERT"), (4, "d", "INSERT")], key=repr)
+
+
+def test_texts_are_dealt_out_before_they_meet_places(spark):
+    from driftwood.operators import summaries
+
+    texts = spark.createDataFrame([(1, "at Hall 1!", 0, 0), (2, "hall12", 1, 1), (3, None, 0, 0)], "text_id long, text string, region int, genre int").coalesce(1)
+    places = spark.createDataFrame([(7, "Hall 1", 0, 5), (8, "Hall 12", 5, 5)], "place long, name string, p_region int, p_genre int")
+    found = summaries.mentions(texts, places)
+    assert sorted(map(tuple, found.collect())) == [(1, 7, True), (2, 7, False), (2, 8, False)]
+    assert "RepartitionByExpression [key" in found._jdf.queryExecution().optimizedPlan().toString()
