@@ -158,7 +158,7 @@ def candidates(posts: DataFrame) -> DataFrame:
     """
     text = F.concat_ws("\n", "title", "body")
     posts = posts.repartition("post_id")
-    parts = posts.select("post_id", "title", "published", kind(F.col("title"), F.col("body"), F.col("known_kind")).alias("kind"), F.posexplode(extraction.segments(text)).alias("nth", "part"))
+    parts = posts.select("post_id", "title", "published", kind(F.col("title"), F.col("body"), F.col("known_kind")).alias("kind"), F.posexplode_outer(extraction.segments(text)).alias("nth", "part")).filter("nth is not null")
     read = parts.select("*", extraction.event_date(F.col("part"), F.col("published")).alias("event_date"), extraction.time_range(F.col("part")).alias("t"), extraction.fee(F.col("part")).alias("f"), extraction.venue(F.col("part")).alias("own_venue"))
     post = Window.partitionBy("post_id")
     days = F.size(F.collect_set("event_date").over(post))
@@ -221,7 +221,8 @@ def festivals(posts: DataFrame) -> DataFrame:
 
 def programmes(posts: DataFrame) -> DataFrame:
     """post_id, nth, name, start_min, end_min, end_day_offset of every programme line of a post."""
-    found = posts.select("post_id", F.posexplode(extraction.programmes(F.col("body"))).alias("nth", "p"))
+    # an inner explode would have Spark read the lines for its own filters too
+    found = posts.select("post_id", F.posexplode_outer(extraction.programmes(F.col("body"))).alias("nth", "p")).filter("nth is not null")
     return found.select("post_id", "nth", "p.name", "p.time.start_min", "p.time.end_min", "p.time.end_day_offset")
 
 

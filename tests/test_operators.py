@@ -279,3 +279,10 @@ def test_texts_are_dealt_out_before_they_meet_places(spark):
     found = summaries.mentions(texts, places)
     assert sorted(map(tuple, found.collect())) == [(1, 7, True), (2, 7, False), (2, 8, False)]
     assert "RepartitionByExpression [key" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_read_once_by_explodes(spark):
+    posts = spark.createDataFrame([(1, "Tango PM 3:00~4:30\nno clock\nSalsa 20:00 - 23:30"), (2, "nothing"), (3, None)], "post_id long, body string")
+    found = announcements.programmes(posts)
+    assert sorted((r["post_id"], r["nth"], r["name"], r["start_min"], r["end_min"]) for r in found.collect()) == [(1, 0, "Tango", 900, 990), (1, 1, "Salsa", 1200, 1410)]
+    assert "size(" not in found._jdf.queryExecution().optimizedPlan().toString()
