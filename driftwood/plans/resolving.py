@@ -175,4 +175,4 @@ p AS ({_PAIR_SQL.format("dd")}), q AS ({_PAIR_SQL.format("aa")}) SELECT COALESCE
 def link_preview(spark, sf_dir):
     """What linking the texts of one region's nations to their places would change among pairs."""
     links = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_name").alias("venue_text"), F.col("n_name").alias("venue_id"), F.lit(None).cast("string").alias("metro"))
-    return previews.previewed(_dedup(spark, sf_dir), links)[0]
+    return previews.changed_pairs(_dedup(spark, sf_dir), links)

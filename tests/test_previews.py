@@ -38,3 +38,11 @@ def test_previews_equal_full_recomputation(spark):
             got_folds = {(r["event_id"],): (r["before"], r["after"]) for r in folds.collect()}
             assert got_folds == difference(full(duplicates.folded(events, apart), ("event_id",), "canonical_id"), full(duplicates.folded(then, apart), ("event_id",), "canonical_id"))
             assert bool(got) == (seed < 3)
+
+
+def test_pairs_are_not_shuffled(spark):
+    events = spark.createDataFrame([(k, dt.date(2024, 1, 1), None if k % 2 else "v1", "hall", 600, "a", None) for k in range(300)], EVENT)
+    links = spark.createDataFrame([("hall", "v1", None)], "venue_text string, venue_id string, metro string")
+    found = previews.previewed(events, links)[0]
+    assert {tuple(r)[2:] for r in found.collect()} == {("REVIEW", "AUTO")} and found.count() == 300 * 299 // 2 - 150 * 149 // 2
+    assert "FullOuter" not in found._jdf.queryExecution().optimizedPlan().toString()
