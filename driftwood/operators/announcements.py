@@ -161,11 +161,12 @@ def candidates(posts: DataFrame) -> DataFrame:
     parts = posts.select("post_id", "title", "published", kind(F.col("title"), F.col("body"), F.col("known_kind")).alias("kind"), F.posexplode_outer(extraction.segments(text)).alias("nth", "part")).filter("nth is not null")
     read = parts.select("*", extraction.event_date(F.col("part"), F.col("published")).alias("event_date"), extraction.time_range(F.col("part")).alias("t"), extraction.fee(F.col("part")).alias("f"), extraction.venue(F.col("part")).alias("own_venue"))
     post = Window.partitionBy("post_id")
-    days = F.size(F.collect_set("event_date").over(post))
-    read = read.withColumns({"days": days, "shared": F.max("own_venue").over(post), "names": F.size(F.collect_set("own_venue").over(post))})
-    rank = F.row_number().over(Window.partitionBy("post_id", F.when(F.col("days") >= 2, F.col("event_date"))).orderBy(F.col("event_date").isNull(), F.col("t").isNull(), "nth"))
-    kept = read.withColumn("rank", rank).filter("rank = 1 and (days < 2 or event_date is not null)")
-    venue = F.coalesce("own_venue", F.when(F.col("names") <= 1, F.col("shared")))
+    # least and greatest tell whether there are two, without a set for each post
+    several = lambda c: F.coalesce(F.min(c).over(post) < F.max(c).over(post), F.lit(False))
+    read = read.withColumns({"dated": several("event_date"), "shared": F.max("own_venue").over(post), "named": several("own_venue")})
+    rank = F.row_number().over(Window.partitionBy("post_id", F.when(F.col("dated"), F.col("event_date"))).orderBy(F.col("event_date").isNull(), F.col("t").isNull(), "nth"))
+    kept = read.withColumn("rank", rank).filter("rank = 1 and (not dated or event_date is not null)")
+    venue = F.coalesce("own_venue", F.when(~F.col("named"), F.col("shared")))
     return kept.select("post_id", "nth", "kind", "event_date", "t.start_min", "t.end_min", "t.end_day_offset", F.col("t.evidence").alias("time_evidence"), F.col("f.amount").alias("fee"), F.col("f.options").alias("fee_options"), venue.alias("venue"))
 
 

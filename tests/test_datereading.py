@@ -55,3 +55,16 @@ def test_every_reading_is_within_the_text_and_long_texts_cost_in_proportion():
             assert 0 < end <= len(text) and 0 <= month <= 99 and 0 <= day <= 99 and (year is None or 2000 <= year <= 2099)
     many = "12 seats, " * 50_000
     assert len(Numbers(many).at) == 50_000 and not list(readings(many)) and len(BY_TRUST) == 9
+
+
+def test_no_number_is_looked_at_for_readings_that_a_text_cannot_hold(monkeypatch):
+    from driftwood.functions import datereading
+
+    assert len(datereading.NEEDED) == len(BY_TRUST)
+    rnd = random.Random(3)
+    bits = ["2031", "31", "7", "9", "10", ".", "/", "-", "년", "월", "일", " ", ",", "~", "–", "SEPT", "Jul", "may", "까지", "x", "\n", "120"]
+    texts = ["".join(rnd.choices(bits, k=rnd.randrange(12))) for _ in range(20000)]
+    found = [list(readings(t)) for t in texts]
+    assert {read for t in texts for read, needed in zip(BY_TRUST, datereading.NEEDED) if not needed.search(t)} == set(BY_TRUST)
+    monkeypatch.setattr(datereading, "NEEDED", [datereading._DIGITS] * len(BY_TRUST))
+    assert [list(readings(t)) for t in texts] == found and sum(map(bool, found)) > 100
