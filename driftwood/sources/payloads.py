@@ -148,12 +148,15 @@ class _Rows(HTMLParser):
 
 
 def labelled_rows(html: Column, label: str = "dt", value: str = "dd", container: str = "dl") -> Column:
-    """array<struct<label, value>> of a page: each value element with the label before it in its list, markup gone, lines kept; unclosed elements end where the next begins."""
+    """array<struct<label, value>> of a page: each value element with the label before it in its list, markup gone, lines kept; unclosed elements end where the next begins.
+
+    Pages come to Python a hundred at a time: an Arrow batch would hold ten thousand whole ones.
+    """
     kind = ArrayType(StructType([StructField("label", StringType()), StructField("value", StringType())]))
 
-    @F.pandas_udf(kind)
-    def read(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: [] if page is None else [{"label": a, "value": b} for a, b in _Rows(label, value, container).rows(page)])
+    @F.udf(kind, useArrow=False)
+    def read(page: str | None) -> list[tuple[str | None, str]]:
+        return [] if page is None else _Rows(label, value, container).rows(page)
 
     return read(html)
 

@@ -76,3 +76,11 @@ def test_places_are_taken_apart_at_their_last_brackets(spark):
     assert {raw: (p["name"], p["address"], p["region"]) for raw, p in got.items() if raw is not None} == cases
     assert got["Bar Luna (바 루나) (창원시 용지로 4 (용호) 2층)"]["aliases"] == ["바 루나", "Bar Luna (바 루나) (창원시 용지로 4 (용호) 2층)", "Luna"]
     assert got[None]["name"] == "" and got[None]["aliases"] == ["Luna"] and not got["Bar x)"]["inferred"] and got["Bar (Luna Studio)"]["inferred"]
+
+
+def test_whole_pages_are_not_held_in_arrow_batches(spark):
+    pages = spark.createDataFrame([("<dl><dt>when<dd>now</dl>",), (None,)], "html string")
+    found = pages.select(payloads.labelled_rows(F.col("html")).alias("r"))
+    assert sorted(str(r["r"]) for r in found.collect()) == ["[Row(label='when', value='now')]", "[]"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
