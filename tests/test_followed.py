@@ -198,3 +198,29 @@ def test_one_client_by_hand():
     stamps, seen, s = [], {}, 10**6
     take = lambda at, what: lifecycle.limited(stamps, seen, int(at * s), what, limits)
     assert [take(0, "a"), take(1, "a"), take(2, "b"), take(10, "b"), take(11.5, "c"), take(99, "d"), take(100, "a")] == [("ADMITTED", 0), ("DUPLICATE", 0), ("LIMITED", 8), ("ADMITTED", 0), ("LIMITED", 89), ("LIMITED", 1), ("ADMITTED", 0)]
+
+
+class Waiting:
+    """A list state."""
+
+    def __init__(self):
+        self.parts = []
+
+    def appendValue(self, value):  # noqa: N802
+        self.parts.append(value)
+
+    def get(self):
+        return iter(self.parts)
+
+    def clear(self):
+        self.parts = []
+
+
+def test_what_a_batch_brings_waits_as_one_element_and_leaves_in_order():
+    waiting = Waiting()
+    lifecycle._wait(waiting, [(30, 3, None), (10, 2, "b"), (10, 1, "a")])
+    lifecycle._wait(waiting, [(20, 4, "c"), (50, 5, None)])
+    assert len(waiting.parts) == 2
+    assert lifecycle._passed(waiting, 5) == ([], [(10, 1, "a"), (10, 2, "b"), (20, 4, "c"), (30, 3, None), (50, 5, None)]) and len(waiting.parts) == 2
+    assert lifecycle._passed(waiting, 20) == ([(10, 1, "a"), (10, 2, "b"), (20, 4, "c")], [(30, 3, None), (50, 5, None)]) and len(waiting.parts) == 1
+    assert lifecycle._passed(waiting, 90)[1] == [] and waiting.parts == [] and lifecycle._passed(waiting, 90) == ([], [])
