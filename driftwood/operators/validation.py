@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 FIELDS = ("date", "time", "fee", "venue")
 PASS = (0.85, 0.99, 0.98, 0.20)
 CONDITIONAL = (0.80, 0.99, 0.98, 0.25)
+# What is counted of a found row, each a bit of one number.
+MARKS = ("told", "verified", "cancelled", "touched", "hallucinated", "cancel_miss")
 
 
 def _normal(value: Column) -> Column:
     return F.lower(F.trim(F.coalesce(value.cast("string"), F.lit(""))))
 
 
+def _marked(found: DataFrame) -> DataFrame:
+    """gt_id, day, marks and read: the marks of a row as bits, and its fields where they are compared, so that little is sorted for each row."""
+    status = F.col("status")
+    said = {"told": status.isNotNull(), "verified": status == "VERIFIED", "cancelled": status == "CANCELLED"}
+    marks = sum((F.when(said.get(m, F.col(m)), 1 << k).otherwise(0) for k, m in enumerate(MARKS)), F.lit(0))
+    return found.select("gt_id", "day", marks.alias("marks"), F.when(said["verified"], F.struct(*[f"f_{f}" for f in FIELDS])).alias("read"))
+
+
 def compared(truth: DataFrame, found: DataFrame) -> DataFrame:
     """day, and counts of a day: truths, detected, verified, correct, false, field matches, touches, hallucinated, cancellation misses.
 
@@ -23,15 +33,18 @@ def compared(truth: DataFrame, found: DataFrame) -> DataFrame:
     hallucinated, cancel_miss.  A row counts for its truth's id on its truth's
     day; a cancelled truth that no row calls cancelled is a miss.
     """
-    rows = truth.withColumnRenamed("status", "actual").join(found.withColumnRenamed("status", "said"), ["gt_id", "day"], "left")
-    verified = F.coalesce(F.col("said") == "VERIFIED", F.lit(False))
-    match = {f: _normal(F.col(f"f_{f}")) == _normal(F.col(f"g_{f}")) for f in FIELDS}
+    keys = ["gt_id", "day"]
+    rows = truth.withColumnRenamed("status", "actual").join(_marked(found), keys, "left")
+    has = {m: F.coalesce(F.col("marks").bitwiseAND(1 << k) != 0, F.lit(False)) for k, m in enumerate(MARKS)}
+    verified = has["verified"]
+    match = {f: _normal(F.col(f"read.f_{f}")) == _normal(F.col(f"g_{f}")) for f in FIELDS}
     right = (F.col("actual") == "HELD") & match["date"] & match["time"] & match["fee"] & match["venue"]
     count = lambda c, n: F.count_if(F.coalesce(c, F.lit(False))).alias(n)
-    per_truth = rows.groupBy("day", "gt_id").agg(
-        (F.count("said") > 0).cast("long").alias("detected"), count(verified, "verified"), count(verified & right, "correct"), *[count(verified & match[f], f) for f in FIELDS],
-        count(F.col("touched"), "touches"), count(F.col("hallucinated"), "hallucinated"),
-        (F.count_if(F.coalesce("cancel_miss", F.lit(False))) + F.when((F.max("actual") == "CANCELLED") & (F.count_if(F.coalesce(F.col("said") == "CANCELLED", F.lit(False))) == 0), 1).otherwise(0)).alias("misses"),
+    # in the join's order of keys, so that its rows are not sorted again
+    per_truth = rows.groupBy(*keys).agg(
+        (F.count_if(has["told"]) > 0).cast("long").alias("detected"), count(verified, "verified"), count(verified & right, "correct"), *[count(verified & match[f], f) for f in FIELDS],
+        count(has["touched"], "touches"), count(has["hallucinated"], "hallucinated"),
+        (F.count_if(has["cancel_miss"]) + F.when((F.max("actual") == "CANCELLED") & (F.count_if(has["cancelled"]) == 0), 1).otherwise(0)).alias("misses"),
     )
     counts = ("detected", "verified", "correct", *FIELDS, "touches", "hallucinated", "misses")
     return per_truth.groupBy("day").agg(F.count("*").alias("truths"), *[F.sum(c).alias(c) for c in counts]).withColumn("false_verified", F.col("verified") - F.col("correct"))

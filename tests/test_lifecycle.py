@@ -94,6 +94,40 @@ def test_the_failing_sample_fails_and_a_weak_one_passes_conditionally(spark):
     assert sample(spark, 23, 22, 5)["gate"] == "CONDITIONAL_PASS" and sample(spark, 20, 20, 0)["gate"] == "FAIL"
 
 
+def test_found_rows_are_sorted_once_and_narrow_and_counted_as_told(spark):
+    day = lambda k: dt.date(2026, 8, 1 + k % 3)
+    truth = [(k, day(k), ("HELD", "CANCELLED", None)[k % 3], day(k) if k % 4 else None, "20:00", k, None if k % 5 == 0 else "Hall") for k in range(24)]
+    truth += [truth[1], (4, day(4), "CANCELLED", day(4), "21:00", 9, "Hall")]
+    said = ("VERIFIED", "CANCELLED", "POSSIBLE", None)
+    yes = (True, False, None)
+    found = [(k % 26, day(k % 26 + (k % 17 == 0)), said[k % 4], day(k % 26), "20:00", k % 26 + (k % 7 == 0), " hall" if k % 3 else None, yes[k % 3], yes[k % 2], yes[k // 26]) for k in range(78)]
+    a = spark.createDataFrame(truth, "gt_id long, day date, status string, g_date date, g_time string, g_fee long, g_venue string")
+    b = spark.createDataFrame(found, "gt_id long, day date, status string, f_date date, f_time string, f_fee long, f_venue string, touched boolean, hallucinated boolean, cancel_miss boolean")
+    normal = lambda v: "" if v is None else str(v).strip().lower()
+    want = {}
+    for key in {t[:2] for t in truth}:
+        gs, mine = [t for t in truth if t[:2] == key], [f for f in found if f[:2] == key]
+        pairs_ = [(g, f, [normal(x) == normal(y) for x, y in zip(g[3:7], f[3:7], strict=True)]) for g in gs for f in mine]
+        seen = [(g, same) for g, f, same in pairs_ if f[2] == "VERIFIED"]
+        missed = any(g[2] == "CANCELLED" for g in gs) and all(f[2] != "CANCELLED" for f in mine)
+        row = [1, any(f[2] for f in mine), len(seen), sum(g[2] == "HELD" and all(same) for g, same in seen), *[sum(same[n] for _, same in seen) for n in range(4)], *[sum(bool(f[n]) for _, f, _ in pairs_) for n in (7, 8)], sum(bool(f[9]) for _, f, _ in pairs_) + missed]
+        want[key[1]] = [x + y for x, y in zip(want.get(key[1], [0] * 11), row, strict=True)]
+    with_ = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in with_}
+    try:
+        for c, v in with_.items():
+            spark.conf.set(c, v)
+        days = validation.compared(a, b)
+        plan = days._jdf.queryExecution().executedPlan().toString()
+        assert {r["day"]: list(r)[1:12] for r in days.collect()} == want
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    # each side of the join, and not the joined rows again; a row brings its fields only where they are compared
+    assert plan.count(" Sort [") == 2
+    assert {r["read"] is None for r in validation._marked(b.filter("status is null or status <> 'VERIFIED'")).collect()} == {True}
+
+
 def test_words_prove_only_beside_what_they_need(spark):
     published = F.lit("2024-05-01").cast("date")
     told = lambda title, body: one(spark, t=title, b=body).select(announcements.evidence(F.col("t"), F.col("b"), published).alias("e")).select("e.*").first().asDict()
