@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 GENERIC = ("milonga", "social", "party", "night", "tango", "salsa", "밀롱가", "소셜", "파티")
 #: Minutes within which two sources' starts count as one.
 CLOSE_MINUTES = 60
+#: What may be said for a pair.
+FACTS = ("NAME", "START", "PLACE", "INDEPENDENT")
 
 
 def name_words(name: Column, generic: Sequence[str] = GENERIC) -> Column:
@@ -40,17 +42,24 @@ def met(members: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, a, b (structs of the other columns), names of every two members (event_id, words, ...) that share the keys, the smaller id first.
 
     Names are compared once for two names of a group, however many members bear
-    them: a member brings the numbers of the names that match its own, and a
-    pair looks one number up.
+    them: a member brings the numbers of the names that match its own, the first
+    64 as bits, and a pair looks one number up.  Members meet as flat columns, of
+    which a pair makes only those that are read, and are dealt out by number: few
+    rows make many pairs.
     """
     numbered = members.dropna(subset=list(keys)).withColumn("name", F.dense_rank().over(Window.partitionBy(*keys).orderBy("words")))
     borne = numbered.select(*keys, "name", "words").distinct()
     other = borne.select(*keys, F.col("name").alias("_name"), F.col("words").alias("_words"))
-    alike = borne.join(other, list(keys)).filter(names_match(F.col("words"), F.col("_words"))).groupBy(*keys, "name").agg(F.collect_list("_name").alias("alike"))
-    rows = numbered.drop("words").join(alike, [*keys, "name"], "left")
-    side = lambda n: rows.select(*keys, F.struct(*[c for c in rows.columns if c not in keys]).alias(n))
-    joined = side("a").join(side("b"), list(keys)).filter("a.event_id < b.event_id")
-    return joined.withColumn("names", F.coalesce(F.array_contains("a.alike", F.col("b.name")), F.lit(False)))
+    bit = F.when(F.col("_name") <= 64, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_name") - 1))
+    alike = borne.join(other, list(keys)).filter(names_match(F.col("words"), F.col("_words"))).groupBy(*keys, "name").agg(F.bit_or(bit).alias("alike"), F.collect_list(F.when(F.col("_name") > 64, F.col("_name"))).alias("alike_more"))
+    rows = numbered.drop("words").join(alike, [*keys, "name"], "left").repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    own = [c for c in rows.columns if c not in keys]
+    side = lambda n: rows.select(*keys, *[F.col(c).alias(f"_{n}_{c}") for c in own])
+    joined = side("a").join(side("b"), list(keys)).filter("_a_event_id < _b_event_id")
+    one_of_64 = F.call_function("shiftright", F.col("_a_alike"), F.col("_b_name") - 1).bitwiseAND(F.lit(1)) == 1
+    names = F.when(F.col("_b_name") <= 64, one_of_64).otherwise(F.array_contains("_a_alike_more", F.col("_b_name")))
+    told = [c for c in own if c not in ("alike", "alike_more")]
+    return joined.select(*keys, *[F.struct(*[F.col(f"_{n}_{c}").alias(c) for c in told]).alias(n) for n in ("a", "b")], F.coalesce(names, F.lit(False)).alias("names"))
 
 
 def readiness(pairs: DataFrame) -> DataFrame:
@@ -64,22 +73,33 @@ def readiness(pairs: DataFrame) -> DataFrame:
     known = lambda f: a.getField(f).isNotNull() & b.getField(f).isNotNull()
     same = lambda f: F.coalesce(a.getField(f) == b.getField(f), F.lit(False))
     names = F.col("names") if "names" in pairs.columns else names_match(a.words, b.words)
-    clock, place = same("start_min"), same("venue_id")
-    place_conflict, independent = known("venue_id") & ~place, known("source_id") & ~same("source_id")
-    close = ~known("start_min") | (F.abs(a.start_min - b.start_min) <= CLOSE_MINUTES)
-    festivals, ends_differ = a.festival & b.festival, known("end_date") & ~same("end_date")
-    auto = place & clock
-    why = (
-        F.when(auto, "RULES")
-        .when(place_conflict, None)
-        .when(names & clock, "NAME_AND_START")
-        .when(festivals & names & independent & ~ends_differ, "FESTIVAL_OF_TWO_SOURCES")
-        .when(names & place & independent & close, "NAME_AND_PLACE_OF_TWO_SOURCES")
-    )
-    ready = why.isNotNull()
-    strength = F.when(ready, F.when(independent | (names & clock & place), "STRONG").otherwise("MODERATE")).when(names | clock | place, "WEAK").otherwise("NONE")
-    facts = F.concat_ws(",", F.when(names, "NAME"), F.when(clock, "START"), F.when(place, "PLACE"), F.when(independent, "INDEPENDENT"))
-    return pairs.withColumns({"ready": ready, "why": why, "strength": strength, "facts": facts, "auto": auto, "paired": names | clock})
+    said = {
+        "NAME": names, "START": same("start_min"), "PLACE": same("venue_id"), "INDEPENDENT": known("source_id") & ~same("source_id"), "PLACES_DIFFER": known("venue_id") & ~same("venue_id"),
+        "CLOSE": ~known("start_min") | (F.abs(a.start_min - b.start_min) <= CLOSE_MINUTES), "FESTIVALS": a.festival & b.festival & ~(known("end_date") & ~same("end_date")),
+    }
+    # what is said is one number, made once for a pair, and what follows from it is looked up
+    number = sum((F.when(c, 1 << k).otherwise(0) for k, c in enumerate(said.values())), F.lit(0))
+    cases = [{f for k, f in enumerate(said) if n >> k & 1} for n in range(1 << len(said))]
+    whys = [_why(case) for case in cases]
+    strengths = [("STRONG" if "INDEPENDENT" in c or {"NAME", "START", "PLACE"} <= c else "MODERATE") if w else "WEAK" if c & {"NAME", "START", "PLACE"} else "NONE" for c, w in zip(cases, whys)]
+    columns = {
+        "ready": [w is not None for w in whys], "why": whys, "strength": strengths, "facts": [",".join(f for f in FACTS if f in c) for c in cases],
+        "auto": [w == "RULES" for w in whys], "paired": [not c.isdisjoint(("NAME", "START")) for c in cases],
+    }
+    return pairs.withColumn("_said", number).withColumns({c: F.get(F.array(*map(F.lit, told)), F.col("_said")) for c, told in columns.items()}).drop("_said")
+
+
+def _why(said: set[str]) -> str | None:
+    """The rule by which a pair is one, of what is said for it; none: None."""
+    if {"PLACE", "START"} <= said:
+        return "RULES"
+    if "PLACES_DIFFER" in said:
+        return None
+    if {"NAME", "START"} <= said:
+        return "NAME_AND_START"
+    if {"FESTIVALS", "NAME", "INDEPENDENT"} <= said:
+        return "FESTIVAL_OF_TWO_SOURCES"
+    return "NAME_AND_PLACE_OF_TWO_SOURCES" if {"NAME", "PLACE", "INDEPENDENT", "CLOSE"} <= said else None
 
 
 def pair_status(pairs: DataFrame) -> DataFrame:

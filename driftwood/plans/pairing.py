@@ -29,7 +29,7 @@ def _members(spark, sf_dir):
 
 def _paired(spark, sf_dir):
     joined = pairs.met(_members(spark, sf_dir), ["event_date", "venue"])
-    return joined.select(F.col("a.event_id").alias("a_id"), F.col("b.event_id").alias("b_id"), "event_date", "a", "b", "names")
+    return joined.select(F.col("a.event_id").alias("a_id"), F.col("b.event_id").alias("b_id"), "event_date", F.col("a.end_date").alias("a_end"), "a", "b", "names")
 
 
 @query(f"""WITH {EVENTS_SQL}, {_MEMBERS}, {_PAIRED} SELECT a_id, b_id, why IS NOT NULL AS ready, why, CASE WHEN why IS NOT NULL THEN CASE WHEN independent OR (names AND clock AND place) THEN 'STRONG' ELSE 'MODERATE' END WHEN names OR clock OR place THEN 'WEAK' ELSE 'NONE' END AS strength,
@@ -49,7 +49,7 @@ def pair_statuses(spark, sf_dir):
         "decided_by": F.when(a % 19 == 0, "PERSON"), "missing": b % 23 == 0, "a_root": F.when(a % 5 == 0, b % 50), "b_root": F.when(b % 7 == 0, a), "person_fold": b % 2 == 0,
         "rule": F.when(F.col("paired"), "SAME_DAY"), "open": F.col("ready"),
     })
-    timing = labels.timing(F.col("event_date"), F.col("a.end_date"), F.lit(False), F.lit(_TODAY).cast("date"))
+    timing = labels.timing(F.col("event_date"), F.col("a_end"), F.lit(False), F.lit(_TODAY).cast("date"))
     return pairs.pair_status(asked).select("a_id", "b_id", "status", pairs.queue_priority(F.col("status"), timing).cast("int").alias("priority"))
 
 
