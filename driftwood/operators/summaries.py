@@ -95,13 +95,17 @@ def mentions(texts: DataFrame, places: DataFrame) -> DataFrame:
 
     All names are searched at once; a text meets only the places that it names.
     A match counts where region or genre agrees.  Texts are dealt out before
-    they are searched: a small file of texts can name very many places.
+    they are searched: a small file of texts can name very many places.  They
+    are then dealt by range of name, so that a task has few names, whose places
+    repeat and so take little room where they are written.
     """
     together = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
     named = places.withColumn("_name", together("name")).filter("_name <> ''")
     names = named.select(F.col("_name").alias("letters")).distinct().select(F.lit(0).alias("pattern"), "letters", F.lit(None).alias("scope"))
     whole = texts.select(F.col("text_id").alias("key"), together("text").alias("text"), "region", "genre").repartition("key")
     found = F.array_distinct(F.transform("hits", lambda h: F.substr("text", h.start + 1, h.end - h.start)))
-    met = occurrences(whole, names, whole_words=False).select("key", "region", "genre", F.explode(found).alias("_name")).join(named, "_name")
+    held = occurrences(whole, names, whole_words=False).select("key", "region", "genre", F.explode(found).alias("_name"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = held.repartitionByRange(parts, "_name", "key").join(named, "_name")
     agreed = F.coalesce(F.col("region") == F.col("p_region"), F.lit(False)) | F.coalesce(F.col("genre") == F.col("p_genre"), F.lit(False))
     return met.select(F.col("key").alias("text_id"), "place", agreed.alias("agreed"))
